@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokensieve.llm import bpe_automaton, dac, warc
+from tokensieve.llm import bpe_automaton, dac, mixing, toxicity, warc
+from tokensieve.llm.common import materialize, words_of
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,30 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(docs, keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_token_binary": op2_token_binary, "op3_bpe": op3_bpe}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model that was fitted outside the held-out fold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, learn=~toxicity.held_out())
+    scored = toxicity.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, "score")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the contract's targets; the sizes are counted once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_of(F.col("text")).alias("size")), "sizes")
+    mixed = mixing.mix(sized, size="size")
+    return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken"), "source", F.col("mix_copies").alias("copies"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_token_binary": op2_token_binary,
+    "op3_bpe": op3_bpe,
+    "op5_toxicity": op5_toxicity,
+    "op9_mixing": op9_mixing,
+}
 
 ORACLES: dict[str, str] = {
     "op1_warc": """
