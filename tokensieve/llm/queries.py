@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokensieve.llm import bpe_automaton, dac, mixing, toxicity, warc
+from tokensieve.llm import bpe_automaton, dac, mixing, simhash, toxicity, warc
 from tokensieve.llm.common import materialize, words_of
 
 
@@ -38,6 +38,28 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(docs, keep_ids=False)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how near they are to each other and to the next document's."""
+    docs = simhash.with_neighbour(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
+    rows = docs.select("_range", "_row", "_ghost", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    key = ["_range", "_row", "_ghost", "doc_id", "n_chars", "edited_sha256"]
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    both = rows.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t")))).alias("x"))
+    prints = simhash.fingerprints(both.select(*key, "x.e", "x.t"), [*key, "e"], "t")
+    pick = [F.max(F.when(F.col("e") == e, F.col(c))).alias(f"{p}{c}") for e, p in ((0, ""), (1, "e")) for c in ("hi", "lo")]
+    prints = prints.groupBy(*key).agg(*pick)
+    w = Window.partitionBy("_range").orderBy("_row")
+    prints = prints.withColumn("nhi", F.lag("hi").over(w)).withColumn("nlo", F.lag("lo").over(w)).where("_ghost = 0")
+    like = lambda p: simhash.likeness(*[F.col(c) for c in ("hi", "lo", f"{p}hi", f"{p}lo")])
+    return prints.select(
+        "doc_id", "n_chars", "edited_sha256", simhash.shown("hi", "lo").alias("fingerprint"), simhash.shown("ehi", "elo").alias("edited_fingerprint"),
+        like("e").alias("near_edited"), like("n").alias("near_next"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model that was fitted outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -59,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_binary": op2_token_binary,
     "op3_bpe": op3_bpe,
+    "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op9_mixing": op9_mixing,
 }
