@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokensieve.llm import bpe_automaton, dac, mixing, near_vectors, simhash, toxicity, warc
+from tokensieve.llm import bpe_automaton, dac, jaccard_join, mixing, near_vectors, simhash, toxicity, warc
 from tokensieve.llm.common import materialize, words_of
 
 
@@ -69,6 +69,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents linked at a Jaccard similarity of 0.8 or more over five-word shingles."""
+    out = jaccard_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors linked at a cosine of 0.95 or more."""
     return near_vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op7_jaccard": op7_jaccard,
     "op8_embeddings": op8_embeddings,
     "op9_mixing": op9_mixing,
 }
