@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokensieve.llm import bpe_automaton, dac, jaccard_join, mixing, near_vectors, simhash, toxicity, warc
+from tokensieve.llm import bpe_automaton, chaining, dac, jaccard_join, mixing, near_vectors, sharding, simhash, toxicity, warc
 from tokensieve.llm.common import materialize, words_of
 
 
@@ -69,6 +69,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of 50 words or more that an earlier document holds too, edited or not."""
+    found = chaining.passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), "source_doc_id", F.col("source_start").alias("source_start_word"), F.col("source_end").alias("source_end_word"), F.col("equal").alias("equal_words"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents linked at a Jaccard similarity of 0.8 or more over five-word shingles."""
     out = jaccard_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -88,15 +94,26 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken"), "source", F.col("mix_copies").alias("copies"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents brought in as small shards, compacted, and read back from the committed manifest."""
+    store = sharding.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    store.vacuum()
+    m = store.manifest()
+    rows = store.read()
+    return rows.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("length"), F.lit(m["version"]).cast("long").alias("version"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_binary": op2_token_binary,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_passages": op6_passages,
     "op7_jaccard": op7_jaccard,
     "op8_embeddings": op8_embeddings,
     "op9_mixing": op9_mixing,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
