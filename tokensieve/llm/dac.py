@@ -34,7 +34,8 @@ ODD_SPACE = re.compile("[\x1c-\x1f᠎]")
 #: Those, characters that str.lower and the library may fold differently, and what special tokens begin with.
 ODD = re.compile("[\x1c-\x1f᠎İΣ]|<\\||[^\x00-\u024f\u0370-\u04ff\u2010-\u2027]")
 #: Words that the pre-tokenizer keeps whole.
-PLAIN = re.compile("[a-zA-Zà-öø-ÿ]+").fullmatch
+PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
+STOPPED = re.compile(r"([a-zà-öø-ÿ]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+)").fullmatch
 #: Entries that a worker keeps of piece -> ids.
 CACHE = 1_200_000
 
@@ -119,6 +120,17 @@ class Shard:
         return out
 
 
+def odd(text: str) -> bool:
+    """Whether ODD finds anything; the scan is spared for texts in Latin-1."""
+    if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return True
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return ODD.search(text) is not None
+
+
 class PieceEncoder:
     """Encodes with the tokenizers library, each distinct piece between white space once."""
 
@@ -130,46 +142,77 @@ class PieceEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.known: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         one = lambda s: self.lib.encode(s, add_special_tokens=False).ids
         self.folds = one("ABC ÀÉ Thé") == one("abc àé thé")
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """piece -> ids. Words of plain letters share calls of the library; each ends with a token that is marked as a word's end."""
-        got, plain = {}, [p for p in new if PLAIN(p)]
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+        # plain words that are folded already need no normalizer and no pattern
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.words = Tokenizer.from_file(path)
+        self.words.no_truncation()
+        self.words.no_padding()
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "thé abcdefghij straße ça zzzyx"
+        if not self.folds or self.words.encode(probe, add_special_tokens=False).ids != one(probe):
+            self.words = self.lib
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """piece -> ids. Words of plain letters share calls of the library; each ends with a token that is marked as a word's end.
+
+        The pre-tokenizer cuts a plain word from the stops that follow it, so both are looked up by themselves.
+        """
+        got: dict[str, bytes] = {}
+        tailed, plain, rest = [], set(), []
+        for p in new:
+            if m := STOPPED(p):
+                tailed.append((p, *m.groups()))
+                plain.add(m[1])
+            elif PLAIN(p):
+                plain.add(p)
+            else:
+                rest.append(p)
+        part_of = [w for w in plain if w not in self.known]
+        for lo in range(0, len(part_of), 2000):
+            part = part_of[lo : lo + 2000]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) == len(part):
                 raw = ids.tobytes()
-                got.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
-        rest = [p for p in new if p not in got]
-        got.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+                got.update(zip(part, [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+            else:
+                rest += part
+        stops = {x[2] for x in tailed} - self.stops.keys()
+        for into, keys in ((got, rest), (self.stops, list(stops))):
+            into.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(keys, self.lib.encode_batch_fast(keys, add_special_tokens=False), strict=True))
+        for p, word, stop in tailed:
+            got[p] = (got.get(word) or self.known[word]) + self.stops[stop]
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = []
-        for t in texts:
-            if ODD.search(t):
-                pieces.append([t] if ODD_SPACE.search(t) else t.split())
-            else:
-                pieces.append((t.lower() if self.folds else t).split())
         if len(self.known) > CACHE:
             self.known = {}
-        known, seen = self.known, set()
-        for x in pieces:
-            seen.update(x)
-        new = [p for p in seen if p not in known]
-        known.update(self._learn(new))
-        out = [b"".join(map(known.__getitem__, x)) for x in pieces]
-        for p in new:
-            if len(p) > 64:
-                del known[p]
-        return out
+        known, get = self.known, self.known.get
+        rows, new = [], set()
+        for t in texts:
+            if odd(t):
+                x = [t] if ODD_SPACE.search(t) else t.split()
+            else:
+                x = (t.lower() if self.folds else t).split()
+            v = list(map(get, x))
+            gaps = [i for i, y in enumerate(v) if y is None] if None in v else []
+            new.update([x[i] for i in gaps])
+            rows.append((x, v, gaps))
+        got = self._learn(new)
+        for x, v, gaps in rows:
+            for i in gaps:
+                v[i] = got[x[i]] if x[i] in got else known[x[i]]
+        known.update((p, y) for p, y in got.items() if len(p) <= 64)
+        return [b"".join(v) for _, v, _ in rows]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
