@@ -184,8 +184,9 @@ def base_url(url: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Each token, then ``bi:`` with its predecessor."""
-    rest = F.when(F.size(tokens) > 1, F.flatten(F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.array(tokens[i], F.concat(F.lit("bi:"), tokens[i - 1], F.lit(" "), tokens[i])))))
-    return F.concat(F.slice(tokens, 1, 1), F.coalesce(rest, F.array().cast(NO_STRINGS)))
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))  # neighbours are zipped: an index into tokens would evaluate them anew for each element
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.array(b, F.concat(F.lit("bi:"), a, F.lit(" "), b)))
+    return F.concat(F.slice(tokens, 1, 1), F.flatten(pairs))
 
 
 def clean_body(text: Column) -> Column:

@@ -40,7 +40,7 @@ def newest(rows: DataFrame, order: list[Column], keep: int) -> DataFrame:
 def group_by_day(messages: DataFrame, ts: str) -> DataFrame:
     """messages with grp, whole days since the earliest message. The earliest time is one broadcast row."""
     first = messages.agg(F.min(ts).alias("_first"))
-    seconds = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_first"))
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))
     return messages.crossJoin(F.broadcast(first)).withColumn("grp", F.floor(seconds / 86_400_000_000).cast("long")).drop("_first")
 
 

@@ -44,7 +44,7 @@ def fold_models(messages: DataFrame, how: str = "subtract") -> DataFrame:
 
 
 def _score_folds(messages: DataFrame, models: DataFrame, by: list[str], o: EngineOptions) -> DataFrame:
-    probs = models.select("token", *[c for c in by if c != "msg_id"], probability(F.col("spamcount"), F.col("hamcount"), F.col("nspam"), F.col("nham"), o).alias("prob"))
+    probs = models.select("token", *[c for c in by if c in models.columns], probability(F.col("spamcount"), F.col("hamcount"), F.col("nspam"), F.col("nham"), o).alias("prob"))
     found = clues(exploded(messages, *by), probs, o, by)
     out = score(messages.select("msg_id", "is_spam", *[c for c in by if c != "msg_id"]), found, by)
     return out.withColumn("score", F.round("score", PLACES))

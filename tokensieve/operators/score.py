@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,24 +56,29 @@ def tile_bigrams(messages: DataFrame, probs: DataFrame, o: EngineOptions = DEFAU
 
     Clues are taken greedily by strength; a clue that uses a token position already used is left out; then the strongest are kept.
     """
-    posed = messages.select("msg_id", F.posexplode("tokens").alias("i", "t"), "tokens")
-    uni = posed.select("msg_id", F.col("t").alias("token"), F.array("i").alias("at"))
-    bi = posed.where("i > 0").select("msg_id", F.concat(F.lit("bi:"), F.expr("tokens[i - 1]"), F.lit(" "), F.col("t")).alias("token"), F.array(F.col("i") - 1, F.col("i")).alias("at"))
-    first = uni.unionByName(bi).groupBy("msg_id", "token").agg(F.min("at").alias("at"))
+    posed = messages.select("msg_id", F.posexplode("tokens").alias("i", "t"))
+    before = F.lag("t").over(Window.partitionBy("msg_id").orderBy("i"))
+    posed = posed.withColumn("p", before)
+    two = F.struct(F.concat(F.lit("bi:"), "p", F.lit(" "), "t").alias("token"), (F.col("i") - 1).alias("a"), F.col("i").alias("b"))
+    one = F.struct(F.col("t").alias("token"), F.col("i").alias("a"), F.col("i").alias("b"))
+    every = posed.select("msg_id", F.explode(F.when(F.col("p").isNull(), F.array(one)).otherwise(F.array(one, two))).alias("x")).select("msg_id", "x.*")
+    first = every.groupBy("msg_id", "token").agg(F.min("a").alias("a"), F.min("b").alias("b"))
     rows = first.join(probs.select("token", "prob"), "token", "left").withColumn("prob", F.coalesce("prob", F.lit(o.unknown_word_prob))).withColumn("dist", F.abs(F.col("prob") - 0.5))
-    rows = rows.where(F.col("dist") >= o.minimum_prob_strength)
-    ordered = rows.groupBy("msg_id").agg(F.reverse(F.sort_array(F.collect_list(F.struct("dist", "prob", "token", "at")))).alias("c"))
-    start = F.struct(F.array().cast("array<int>").alias("seen"), F.array().cast("array<struct<token:string,prob:double>>").alias("out"))
-
-    def take(a: Column, x: Column) -> Column:
-        free = ~F.arrays_overlap(a["seen"], x["at"])
-        return F.struct(
-            F.when(free, F.concat(a["seen"], x["at"])).otherwise(a["seen"]).alias("seen"),
-            F.when(free, F.concat(a["out"], F.array(F.struct(x["token"].alias("token"), x["prob"].alias("prob"))))).otherwise(a["out"]).alias("out"),
-        )
-
-    tiled = ordered.select("msg_id", F.slice(F.aggregate("c", start, take, lambda a: a["out"]), 1, o.max_discriminators).alias("c"))
-    return tiled.select("msg_id", F.posexplode("c").alias("rank", "x")).select("msg_id", (F.col("rank") + 1).alias("rank"), "x.token", "x.prob")
+    rows = rows.where(F.col("dist") >= o.minimum_prob_strength).select("msg_id", "token", "prob", "dist", "a", "b")
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: set[int] = set()
+        out = []
+        for r in pdf.sort_values(["dist", "prob", "token"], ascending=False).itertuples(index=False):
+            if r.a not in seen and r.b not in seen:
+                seen.update((r.a, r.b))
+                out.append((r.msg_id, len(out) + 1, r.token, r.prob))
+                if len(out) == o.max_discriminators:
+                    break
+        return pd.DataFrame(out, columns=["msg_id", "rank", "token", "prob"])
+
+    kind = messages.schema["msg_id"].dataType.simpleString()
+    return rows.groupBy("msg_id").applyInPandas(take, f"msg_id {kind}, rank int, token string, prob double")
 
 
 def best_model(scores: DataFrame, cutoff: float) -> DataFrame:

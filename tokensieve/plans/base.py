@@ -40,7 +40,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LABELLED = f"msgs AS (SELECT d.doc_id AS msg_id, l.toxic = 1 AS is_spam, d.doc_id % 5 AS fold, d.doc_id AS seq, d.doc_id // 100 AS grp, d.source, d.lang, {tokens_sql('d.text')} AS tokens FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
-TOK = "tok AS (SELECT DISTINCT msg_id, is_spam, fold, seq, grp, unnest(tokens) AS token FROM msgs)"
+TOK = "tok AS (SELECT DISTINCT msg_id, is_spam, fold, seq, grp, lang, unnest(tokens) AS token FROM msgs)"
 MODEL = (
     f"{LABELLED}, {TOK}, wordinfo AS (SELECT token, sum(is_spam::INT)::BIGINT AS spamcount, sum((NOT is_spam)::INT)::BIGINT AS hamcount FROM tok GROUP BY token), "
     "meta AS (SELECT coalesce(sum(is_spam::INT), 0)::BIGINT AS nspam, coalesce(sum((NOT is_spam)::INT), 0)::BIGINT AS nham FROM msgs)"

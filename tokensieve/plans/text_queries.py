@@ -52,7 +52,13 @@ def url_tokens(s, d):
 
 
 def url_structure(s, d):
-    return _exploded(read(s, d, "pages"), "page_id", T.url_structure(F.col("url")))
+    k = F.col("c_custkey")
+    url = F.concat(
+        F.when(k % 3 == 0, F.lit("https://")).otherwise(F.lit("http://")), F.when(k % 4 == 1, F.lit("me@")).otherwise(F.lit("")),
+        F.when(k % 5 == 2, F.concat_ws(".", *[(k % m).cast("string") for m in (251, 13, 7, 199)])).otherwise(F.lit("shop.example.com")),
+        F.when(k % 6 == 0, F.concat(F.lit(":"), (k % 9000).cast("string"))).otherwise(F.lit("")), F.lit("/a"), F.repeat(F.lit("%41"), (k % 4).cast("int")),
+    )
+    return _exploded(read(s, d, "customer").select("c_custkey", url.alias("u")), "c_custkey", T.url_structure(F.col("u")))
 
 
 def filename_tokens(s, d):
@@ -60,7 +66,7 @@ def filename_tokens(s, d):
 
 
 def _subject(c):
-    return F.substring(F.regexp_replace(c, "\n", " "), 1, 60)
+    return F.regexp_replace(c, "\n", " ")
 
 
 def subject_tokens(s, d):
@@ -163,7 +169,6 @@ def clean_sql(x: str) -> str:
 
 
 _name = "regexp_replace(url, '^[a-z]+://', '')"
-_subj = "substring(replace(text, chr(10), ' '), 1, 60)"
 _short = f"list_reduce(list_prepend('0|0', list_filter(string_split_regex(text, '{WS}'), lambda w: length(w) > 0)), lambda a, w: CASE WHEN length(w) < 3 THEN (string_split(a, '|')[1]::INT + 1)::VARCHAR || '|' || string_split(a, '|')[2] ELSE '0|' || greatest(string_split(a, '|')[2]::INT, string_split(a, '|')[1]::INT)::VARCHAR END)"
 
 QUERIES = {
@@ -175,7 +180,7 @@ QUERIES = {
     "html_summary": (html_summary, f"SELECT page_id, substring(array_to_string(list_filter(string_split_regex({_strip}, '{WS}'), lambda w: length(w) > 0), ' '), 1, 200) AS summary FROM pages"),
     "virus_clues": (virus_clues, r"SELECT page_id, 'virus:' || m AS token, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '</?\s*(?:script|iframe)\b|\bsrc=[''""]?cid:|\b(?:height|width)=[''""]?0')) AS m FROM pages) GROUP BY 1, 2".replace('""', '"')),
     "url_tokens": (url_tokens, _e("pages", "page_id", "list_prepend('proto:' || regexp_extract(lower(url), '^([a-z]+)://', 1), " + _chunks("regexp_extract(lower(url), '^[a-z]+://([^\\s<>\"\\x7f]+)', 1)") + ")")),
-    "url_structure": (url_structure, None),
+    "url_structure": (url_structure, _e("customer", "c_custkey", "list_concat(CASE WHEN c_custkey % 4 > 0 THEN ['url:%' || (2 ** round_even(log2(c_custkey % 4), 0))::BIGINT] ELSE []::VARCHAR[] END, CASE WHEN c_custkey % 4 = 1 THEN ['url:has user'] ELSE []::VARCHAR[] END, CASE WHEN c_custkey % 6 = 0 AND NOT (c_custkey % 3 = 0 AND c_custkey % 9000 = 443) THEN ['url:non-standard port ' || (c_custkey % 9000)] ELSE []::VARCHAR[] END, CASE WHEN c_custkey % 5 = 2 THEN ['url:ip addr'] ELSE []::VARCHAR[] END)")),
     "filename_tokens": (filename_tokens, _e("pages", "page_id", f"list_prepend('fname:' || f, flatten(list_transform(string_split_regex(f, '[/\\\\:]'), lambda p: list_concat(CASE WHEN len(string_split_regex(f, '[/\\\\:]')) > 1 THEN ['fname comp:' || p] ELSE []::VARCHAR[] END, CASE WHEN len(string_split_regex(p, '{_URLSEP}')) > 1 THEN list_transform(string_split_regex(p, '{_URLSEP}'), lambda x: 'fname piece:' || x) ELSE []::VARCHAR[] END))))", f"(SELECT page_id, {_name} AS f FROM pages)")),
     "subject_tokens": (subject_tokens, None),
     "address_tokens": (address_tokens_, "SELECT c_custkey, unnest(['from:name:' || lower(c_name), 'from:addr:' || replace(lower(c_name), '#', '.'), 'from:addr:nation' || c_nationkey || '.example.com']) AS token FROM customer"),
