@@ -168,7 +168,9 @@ class PieceEncoder:
         got: dict[str, bytes] = {}
         tailed, plain, rest = [], set(), []
         for p in new:
-            if m := STOPPED(p):
+            if p.isascii() and p.isalpha() and p.islower():
+                plain.add(p)
+            elif m := STOPPED(p):
                 tailed.append((p, *m.groups()))
                 plain.add(m[1])
             elif PLAIN(p):
@@ -204,7 +206,9 @@ class PieceEncoder:
             else:
                 x = (t.lower() if self.folds else t).split()
             v = list(map(get, x))
-            gaps = [i for i, y in enumerate(v) if y is None] if None in v else []
+            gaps = []
+            for _ in range(v.count(None)):
+                gaps.append(v.index(None, gaps[-1] + 1 if gaps else 0))
             new.update([x[i] for i in gaps])
             rows.append((x, v, gaps))
         got = self._learn(new)
@@ -283,12 +287,14 @@ def read_tokens(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
                     shard = Shard(f.read())
                 for lo in range(0, len(shard.doc_ids), 256):
                     spans = list(zip(shard.offset[lo : lo + 256].tolist(), shard.offset[lo + 1 : lo + 257].tolist(), strict=False))
-                    ids = [shard.slice(s, e) for s, e in spans]
+                    first = spans[0][0]
+                    part = shard.slice(first, spans[-1][1]).astype("<u4", copy=False)
+                    ids = [part[s - first : e - first] for s, e in spans]
                     out = {
                         "doc_id": pa.array(shard.doc_ids[lo : lo + 256], pa.int64()),
                         "start": pa.array([base + s for s, _ in spans], pa.int64()),
                         "n_tokens": pa.array([e - s for s, e in spans], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                     }
                     if keep_ids:
                         out["ids"] = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
