@@ -2,7 +2,7 @@
 
 Two words are alike as far as they share subsequences of four characters, gaps allowed; a gap costs a factor for each
 character skipped, and a subsequence spans at most SPAN characters. So ``i.d-i-o.t`` still
-resembles ``idiot``. Words carry a start and an end mark; runs of single letters are read as one
+resembles ``idiot``. Words carry a start and an end mark; runs of single letters, with spaces or marks between them, are read as one
 word. The kernel is divided by the norms that words of these lengths have.
 
 Labels are given for whole texts, so training is by multiple instances: a text counts by its
@@ -37,7 +37,7 @@ LANDMARKS, ALPHABET, ROUNDS, MAX_NEGATIVE = 128, 56, 3, 12_000
 THRESHOLD = 0.3
 CACHE = 400_000
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
-SPELLED = re.compile(r"(?:(?<!\S)\w[^\w\s]?(?!\S)\s*){3,}")
+SPELLED = re.compile(r"(?:(?<!\S)\w[^\w\s]?(?!\S)\s*){3,}|(?<!\w)(?:\w[^\w\s]+){2,}\w(?!\w)")
 
 
 def words(text: str) -> list[str]:
