@@ -358,7 +358,7 @@ QUERIES = {
     "cost_flex2": (cost_query("flex2"), _cost_sql("flex2")),
     "cost_delayed": (cost_query("std", True), _DELAY),
     "cost_counts": (cost_counts, f"{_CV} SELECT sum((NOT is_spam AND score > 0.9)::INT)::BIGINT AS fp, sum((is_spam AND score < 0.2)::INT)::BIGINT AS fn, sum((NOT is_spam AND score > 0.2 AND score <= 0.9)::INT)::BIGINT AS unsure_ham, sum((is_spam AND score >= 0.2 AND score < 0.9)::INT)::BIGINT AS unsure_spam, sum((NOT is_spam AND score <= 0.2)::INT)::BIGINT AS correct_ham, sum((is_spam AND score >= 0.9)::INT)::BIGINT AS correct_spam FROM cv"),
-    "run_totals": (run_totals, f"{_CV}, k AS (SELECT {_KIND} AS kind FROM cv), t AS (SELECT sum(coalesce(kind = 'fp', false)::INT)::BIGINT AS fp, sum(coalesce(kind = 'fn', false)::INT)::BIGINT AS fn, sum(coalesce(kind = 'unsure', false)::INT)::BIGINT AS un, count(*) AS n FROM k) SELECT fp, fn, un, round(100.0 * un / n, 6) AS unsure_percent, round(fp * 10.0 + fn + un * 0.2, 4) AS cost FROM t"),
+    "run_totals": (run_totals, f"{_CV}, k AS (SELECT {_KIND} AS kind FROM cv), t AS (SELECT sum(coalesce(kind = 'fp', false)::INT)::BIGINT AS fp, sum(coalesce(kind = 'fn', false)::INT)::BIGINT AS fn, sum(coalesce(kind = 'unsure', false)::INT)::BIGINT AS un, count(*) AS n FROM k) SELECT fp, fn, un, round(100.0 * un / n, 6) AS unsure_percent, round(fp * 10.0::DOUBLE + fn + un * 0.2::DOUBLE, 4) AS cost FROM t"),
     "rates_summary": (rates_summary, f"{_CV}, conf AS ({_CONF} FROM cv GROUP BY fold), r AS ({_RATES}) SELECT round(avg(fp_rate), 5) AS fp_rate, round(avg(fn_rate), 5) AS fn_rate, round(avg(unsure_rate), 5) AS unsure_rate, count(*) AS runs FROM r"),
     "ab_compare": (ab_compare, f"{_CV}, conf AS ({_CONF} FROM cv GROUP BY fold), ra AS ({_RATES}), rb AS (WITH {_GRID}, {_SINGLE}, conf AS ({_CONF} FROM one GROUP BY fold) {_RATES}) SELECT ra.fold, ra.unsure_rate AS v1, rb.unsure_rate AS v2, CASE WHEN ra.unsure_rate = rb.unsure_rate THEN 'tied' WHEN ra.unsure_rate < rb.unsure_rate THEN 'lost' ELSE 'won' END AS outcome, round((rb.unsure_rate - ra.unsure_rate) * 100.0 / nullif(ra.unsure_rate, 0), 6) AS change FROM ra JOIN rb ON ra.fold = rb.fold"),
     "experiment_table": (experiment_table, f"{_CV}, x AS (SELECT 'all' AS experiment, is_spam, score * 100.0::DOUBLE AS v FROM cv UNION ALL SELECT 'one', is_spam, score * 100.0::DOUBLE FROM (WITH {_GRID}, {_SINGLE} SELECT * FROM one)), g AS (SELECT experiment, avg(v) FILTER (NOT is_spam) AS hm, avg(v) FILTER (is_spam) AS sm, stddev_pop(v) FILTER (NOT is_spam) AS hd, stddev_pop(v) FILTER (is_spam) AS sd FROM x GROUP BY 1) SELECT experiment, round(hm, 4) AS ham_mean, round(hd, 4) AS ham_sdev, round(sm, 4) AS spam_mean, round(sd, 4) AS spam_sdev, round(sm - hm, 4) AS mean_diff, round((sm - hm) / nullif(sd + hd, 0), 4) AS k FROM g"),
