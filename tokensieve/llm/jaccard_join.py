@@ -8,9 +8,9 @@ is that of its first n - ceil(t n) + 1 shingles (t = 1 - r). The order puts freq
 crowded only when nearly everything in its sets is frequent. Equal sets are one class before anything is joined.
 
 Second level: in a region the class with the smallest set is pivot, and the distance to the pivot is measured
-exactly. Members within r of it are linked and so connected with one another. Pairs of a region that are not connected yet
-are compared again, in blocks: the triangle inequality rules out pairs whose distances to the pivot differ by more than r, and
-the bucket counts of their sets give a lower bound that rules out nearly all the rest; what remains is
+exactly. Members within r of it are linked and so connected with one another. Regions whose members are not all connected yet get
+further pivots, a few at a time. Pairs that are still not connected are compared in blocks: the triangle inequality rules out pairs whose distances to the pivot differ by more than r, and
+the parities of their sets' bucket counts give a lower bound that rules out nearly all the rest; what remains is
 measured exactly. So every pair within r is either linked or connected by links.
 """
 
@@ -30,7 +30,9 @@ WORDS, LINK, OF = 5, 80, 100
 #: How many frequent shingles the order knows of, and how often one must occur in a chunk of that many shingles to be counted.
 FREQUENT, CHUNK, OFTEN = 1 << 17, 4_000_000, 4
 #: Members of a region that are compared in one block, and bits of the table that tells whose texts are read again.
-BLOCK, SLOTS = 1024, 1 << 26
+BLOCK, SLOTS = 256, 1 << 26
+#: How often the regions that are not connected yet get new pivots, and how many at a time, before their members are compared in blocks.
+TURNS, PIVOTS = 2, 3
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +64,24 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Counts of a set in about n / 4 buckets of the hash space, at most 255 each."""
-    bits = max(3, (max(len(s), 1) // 4).bit_length() - 1)
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+    """Parities of a set's counts in 4 to 8 buckets per shingle, as packed bits."""
+    size = 1 << max(5, (4 * max(len(s), 1) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
 def fold(a: np.ndarray, size: int) -> np.ndarray:
-    return a if len(a) == size else a.reshape(size, -1).sum(axis=1)
+    """The sketch of the same set in fewer buckets."""
+    while len(a) > size:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a
+
+
+def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the sketch folded to an eighth."""
+    for b in batches:
+        small = [fold(np.frombuffer(x, np.uint8), max(4, len(x) // 8)).tobytes() for x in b.column("sketch").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(small, pa.binary())], names=[*b.schema.names, "small"])
 
 
 def prefix(n: int, link: int, of: int) -> int:
@@ -108,6 +121,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
 
     The texts of the sets in question are read again: a bit table of bounded size, by doc_id, skips most others, and a join drops the rest.
     """
+    pairs = materialize(pairs, "candidates")
     need = materialize(pairs.select(F.col("a").alias("kid")).unionByName(pairs.select(F.col("b").alias("kid"))).distinct().join(classes.select("kid", "rep"), "kid"), "needed")
     slot = F.pmod(F.coalesce("rep", F.lit(0)), F.lit(SLOTS))
     table = np.zeros(SLOTS // 8, np.uint8)
@@ -142,7 +156,6 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(c, pa.int64()) for c in cols)], names=["a", "b", "common", "na", "nb"])
 
-    pairs = materialize(pairs, "candidates")
     joined = pairs.join(sets.select(F.col("kid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("kid").alias("b"), F.col("s").alias("sb")), "b")
     out = materialize(joined.select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long, common long, na long, nb long"), "measured")
     release(need, sets, pairs)
@@ -167,10 +180,11 @@ def bound(pairs: DataFrame, sketches: DataFrame, link: int, of: int) -> DataFram
 
 
 def possible(x: np.ndarray, y: np.ndarray, m: int, n: int, link: int, of: int) -> bool:
+    """Whether sets of m and n shingles may be linked: a bucket whose parities differ holds a shingle that only one set has."""
     if of * min(m, n) < link * max(m, n):
         return False
     size = min(len(x), len(y))
-    gap = int(np.abs(fold(x, size).astype(np.int64) - fold(y, size)).sum())
+    gap = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
     return gap * (of + link) <= (of - link) * (m + n)
 
 
@@ -185,8 +199,9 @@ def leftover_pairs(rows: DataFrame, link: int, of: int) -> DataFrame:
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("kid"), F.col("parts")).cast("int"))
     two = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("x"), F.greatest(o, F.col("part")).alias("y")))
-    rows = rows.withColumn("p", F.explode(two)).select("h", "p.x", "p.y", "part", "kid", "n", "component", "d", "sketch")
-    rows = rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "part", "n", "kid")
+    rows = rows.withColumn("p", F.explode(two)).select("h", "k0", "p.x", "p.y", "part", "kid", "n", "component", "d", "sketch")
+    # regions that begin with the same class hold much the same pairs; they go to one task, which tells each pair once
+    rows = rows.repartition("k0", "x", "y").sortWithinPartitions("h", "x", "y", "part", "n", "kid")
     reach = 1 - link / of
 
     def block(g: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,42 +215,68 @@ def leftover_pairs(rows: DataFrame, link: int, of: int) -> DataFrame:
         ok &= ~(np.abs(d[i] - d[j]) > reach + 1e-9)
         i, j = i[ok], j[ok]
         if len(i):
-            sk = [np.frombuffer(s, np.uint8) for s in g["sketch"]]
-            on = np.array([possible(sk[a], sk[b], int(n[a]), int(n[b]), link, of) for a, b in zip(i, j, strict=True)])
+            raw = [np.frombuffer(s, np.uint8) for s in g["sketch"]]
+            size = np.array([len(s) for s in raw])
+            for w in np.unique(np.minimum(size[i], size[j])).tolist():
+                sk = np.stack([fold(s, w) if len(s) >= w else np.zeros(w, np.uint8) for s in raw])
+                own = np.flatnonzero(np.minimum(size[i], size[j]) == w)
+                for lo in range(0, len(own), 4096):
+                    o = own[lo : lo + 4096]
+                    gap = np.bitwise_count(sk[i[o]] ^ sk[j[o]]).sum(axis=1, dtype=np.int64)
+                    ok = gap * (of + link) <= (of - link) * (n[i[o]] + n[j[o]])
+                    i[o[~ok]] = -1
+            on = i >= 0
             i, j = i[on], j[on]
         return np.minimum(kid[i], kid[j]), np.maximum(kid[i], kid[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] | None = None
+        names = ("h", "x", "y", "part", "kid", "n", "component", "d", "sketch")
+        held: dict[str, list] = {c: [] for c in names}
         at = None
-        out_a, out_b = [], []
+        told: set[tuple[int, int]] = set()
+
+        def tell() -> pa.RecordBatch | None:
+            if len(held["kid"]) < 2:
+                return None
+            a, b = block(held)
+            new = set(zip(a.tolist(), b.tolist(), strict=True)) - told
+            if len(told) > 500_000:
+                told.clear()
+            told.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], names=["a", "b"]) if new else None
+
         for b in batches:
-            cols = {c: b.column(c).to_pylist() for c in ("h", "x", "y", "part", "kid", "n", "component", "d", "sketch")}
+            cols = {c: b.column(c).to_pylist() for c in names}
             for r in range(b.num_rows):
                 key = (cols["h"][r], cols["x"][r], cols["y"][r])
                 if key != at:
-                    if held and len(held["kid"]) > 1:
-                        a, c = block(held)
-                        out_a.append(a)
-                        out_b.append(c)
-                    held, at = {c: [] for c in cols}, key
-                for c, v in cols.items():
-                    held[c].append(v[r])
-            if sum(map(len, out_a)) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-                out_a, out_b = [], []
-        if held and len(held["kid"]) > 1:
-            a, c = block(held)
-            out_a.append(a)
-            out_b.append(c)
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                    if (out := tell()) is not None:
+                        yield out
+                    held, at = {c: [] for c in names}, key
+                for c in names:
+                    held[c].append(cols[c][r])
+        if (out := tell()) is not None:
+            yield out
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(measured: DataFrame, link: int, of: int) -> DataFrame:
-    return measured.where(F.col("common") * of >= (F.col("na") + F.col("nb") - F.col("common")) * link)
+    return measured.where(F.col("common") * of >= (F.col("na") + F.col("nb") - F.col("common")) * link).select("a", "b")
+
+
+def regions_left(met: DataFrame, label: DataFrame) -> DataFrame:
+    """The memberships, with component and k0 (the region's smallest class), of regions that hold several components; regions of equal members count once.
+
+    Components only grow, so a region that is connected now is never looked at again.
+    """
+    named = met.select("h", "kid", "n", "pivot").join(label.select(F.col("node").alias("kid"), "component"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
+    named = materialize(named, "regions-named")
+    split = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(kid))").alias("sig"), F.min("kid").alias("k0"))
+    split = materialize(split.where("lo <> hi").groupBy("m", "sig", "k0").agg(F.min("h").alias("h")).select("h", "k0"), "regions-split")
+    out = materialize(named.join(split, "h"), "regions-open")
+    release(named, split)
+    return out
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, link: int = LINK, of: int = OF) -> DataFrame:
@@ -253,7 +294,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, link: int = LINK, of
     all_rows = materialize(describe(docs, hot, words, link, of), "shingle-sets")
     classes = materialize(all_rows.where("kid IS NOT NULL").groupBy("kid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("at"), F.max("n").alias("n")), "shingle-classes")
     one = all_rows.where("kid IS NOT NULL").withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(classes.select("kid", "at"), ["kid", "at"], "left_semi")
-    sketches = materialize(one.select("kid", "n", "sketch").dropDuplicates(["kid"]), "sketches")
+    one = materialize(one.select("kid", "n", "first", "sketch"), "class-sets")
+    sketches = materialize(one.select("kid", "n", "sketch").dropDuplicates(["kid"]).mapInArrow(shrink, "kid long, n long, sketch binary, small binary"), "sketches")
     met = one.select("kid", "n", F.explode("first").alias("h"))
     region = Window.partitionBy("h")
     met = met.withColumn("p", F.min(F.struct("n", "kid")).over(region)).withColumn("top", F.max("kid").over(region)).withColumn("low", F.min("kid").over(region)).where("top <> low")
@@ -261,22 +303,31 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, link: int = LINK, of
 
     star = met.where((F.col("kid") != F.col("pivot")) & (F.col("pivot_n") * of >= F.col("n") * link))
     star = star.select(F.least("kid", "pivot").alias("a"), F.greatest("kid", "pivot").alias("b")).distinct()
-    first = verify(docs, classes, bound(star, sketches, link, of), words)
-    known = linked(first, link, of).select("a", "b")
-    label = components(known)
-
-    named = met.join(label.select(F.col("node").alias("kid"), "component"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
-    named = materialize(named, "regions-named")
-    split = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(kid))").alias("sig"), F.min("kid").alias("k0"))
-    split = materialize(split.where("lo <> hi").groupBy("m", "sig", "k0").agg(F.min("h").alias("h")).select("h"), "regions-split")  # regions with the same members count once
-    dist = first.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("dd"))
-    rest = named.join(split, "h", "left_semi").withColumn("a", F.least("kid", "pivot")).withColumn("b", F.greatest("kid", "pivot"))
+    measured = verify(docs, classes, bound(star, sketches, link, of), words)
+    label = components(linked(measured, link, of))
+    for turn in range(TURNS):
+        old, met = met, regions_left(met, label)
+        release(old)
+        rows = met.select("h", "kid", "n", "component")
+        if not rows.limit(1).count():
+            break
+        best = [F.min(F.struct(F.xxhash64("kid", F.lit(turn * PIVOTS + i)).alias("o"), "kid", "n", "component")).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = rows.groupBy("h").agg(*best).select("h", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
+        near = F.lit(of) * F.least("n", "p.n") >= F.lit(link) * F.greatest("n", "p.n")
+        star = rows.join(pivots, "h").where((F.col("component") != F.col("p.component")) & near)
+        star = star.select(F.least("kid", "p.kid").alias("a"), F.greatest("kid", "p.kid").alias("b")).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
+        measured = materialize(measured.unionByName(verify(docs, classes, bound(star, sketches, link, of), words)), "measured")
+        label = components(linked(measured, link, of))
+
+    named = regions_left(met, label)
+    dist = measured.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("dd"))
+    rest = named.withColumn("a", F.least("kid", "pivot")).withColumn("b", F.greatest("kid", "pivot"))
     rest = rest.join(dist, ["a", "b"], "left").withColumn("d", F.when(F.col("kid") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("dd")))
-    rest = materialize(rest.select("h", "kid", "n", "component", "d"), "regions-left").join(sketches.select("kid", "sketch"), "kid")
-    more = leftover_pairs(materialize(rest, "regions-sketched"), link, of).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = verify(docs, classes, more, words)
-    final = components(known.unionByName(linked(second, link, of).select("a", "b")))
-    release(met, named)
+    rest = materialize(rest.select("h", "k0", "kid", "n", "component", "d"), "regions-last").join(sketches.select("kid", F.col("small").alias("sketch")), "kid")
+    more = leftover_pairs(materialize(rest, "regions-sketched"), link, of).join(measured.select("a", "b"), ["a", "b"], "left_anti")
+    second = verify(docs, classes, bound(more, sketches, link, of), words)
+    final = components(linked(measured, link, of).unionByName(linked(second, link, of)))
+    release(met)
 
     comp = classes.join(final.select(F.col("node").alias("kid"), "component"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
     comp = materialize(comp.select("kid", "rep", "copies", "component"), "class-components")
