@@ -95,7 +95,7 @@ def top_clues(s, d):
 
 def evidence(s, d):
     e = S.evidence(_clues(s, d))
-    return e.select("msg_id", F.size("clues").alias("n"), F.element_at("clues", 1)["token"].alias("hammiest"), F.element_at("clues", -1)["token"].alias("spammiest"))
+    return e.select("msg_id", F.size("clues").alias("n"), F.element_at("clues", 1)["token"].alias("most_ham"), F.element_at("clues", -1)["token"].alias("most_spam"))
 
 
 def clue_report(s, d):
@@ -266,7 +266,7 @@ QUERIES = {
     "feature_messages": (feature_messages, f"WITH {LABELLED}, {TOK} SELECT msg_id, source FROM msgs WHERE msg_id IN (SELECT msg_id FROM tok WHERE token IN ('idiot', 'clown', 'moron'))"),
     "score_documents": (score_documents, f"WITH {_rs} SELECT *, {_cat('<', '>=')} AS category FROM rs"),
     "top_clues": (top_clues, f"WITH {_clue} SELECT msg_id, rank, token, round(prob, 6) AS prob FROM clue WHERE rank <= 10"),
-    "evidence": (evidence, f"WITH {_clue} SELECT msg_id, count(*) AS n, arg_min(token, {{'p': prob, 't': token}}) AS hammiest, arg_max(token, {{'p': prob, 't': token}}) AS spammiest FROM clue GROUP BY msg_id"),
+    "evidence": (evidence, f"WITH {_clue} SELECT msg_id, count(*) AS n, arg_min(token, {{'p': prob, 't': token}}) AS most_ham, arg_max(token, {{'p': prob, 't': token}}) AS most_spam FROM clue GROUP BY msg_id"),
     "clue_report": (clue_report, f"WITH {_clue} SELECT c.msg_id, c.rank, c.token, p.spamcount, p.hamcount, round(c.prob, 6) AS prob FROM clue c LEFT JOIN probs p USING (token) WHERE rank <= 5"),
     "bigram_tiling": (bigram_tiling, None),
     "categorize_strict": (categorize_strict, f"WITH {_rs} SELECT msg_id, {_cat('<', '>')} AS category FROM rs"),
