@@ -32,7 +32,7 @@ DECAY = 0.6
 OFFSETS = [(a, b, c) for a, b, c in combinations(range(1, SPAN), 3)]
 PAD = SPAN - 1
 #: The classifier is fitted on at most so many labelled texts of each label, those with the lowest hashes.
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN = 1200, 2400
 LANDMARKS, ALPHABET, ROUNDS, MAX_NEGATIVE = 128, 56, 3, 12_000
 THRESHOLD = 0.3
 CACHE = 400_000
@@ -102,8 +102,8 @@ def features(cores: list[str], lut: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def gram(cores: list[str], keys: np.ndarray, phi: np.ndarray, lut: np.ndarray) -> np.ndarray:
     """K(words, landmarks); phi has a row for each of the landmarks' subsequences, whose sorted codes are keys."""
     out = np.zeros((len(cores), phi.shape[1]))
-    for lo in range(0, len(cores), 2000):
-        who, what, value = features(cores[lo : lo + 2000], lut)
+    for lo in range(0, len(cores), 200):
+        who, what, value = features(cores[lo : lo + 200], lut)
         at = np.minimum(np.searchsorted(keys, what), len(keys) - 1)
         ok = keys[at] == what
         np.add.at(out, lo + who[ok], phi[at[ok]] * value[ok, None])
@@ -183,14 +183,18 @@ class Model:
 
 
 def fit(texts: list[list[str]], labels: list[int]) -> Model:
-    """Fit on the distinct words of each text. Without toxic or without clean texts every score is the share of toxic labels."""
+    """Fit on the distinct words of each text; the list is emptied on the way. Without toxic or without clean texts every score is the share of toxic labels."""
     y = np.array(labels, float)
     none = Model(np.empty(0, np.int64), np.empty(0), {}, 0.0, 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0)
     if not len(y) or y.min() == y.max():
         return none
     number: dict[str, int] = {}
-    docs = [np.array(sorted({number.setdefault(c, len(number)) for c in map(core, ws) if c}), np.int64) for ws in texts]
+    docs = []
+    for i, ws in enumerate(texts):  # the words go as they are numbered
+        docs.append(np.array(sorted({number.setdefault(c, len(number)) for c in map(core, ws) if c}), np.int32))
+        texts[i] = None
     cores = list(number)
+    del number
     hold = np.array([i % 10 >= 7 for i in range(len(y))])
     for v in (0, 1):  # both parts need both labels
         own = np.flatnonzero(y == v)
@@ -206,15 +210,18 @@ def fit(texts: list[list[str]], labels: list[int]) -> Model:
     for i in range(4):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([u[i:], np.zeros(i, np.uint64)])
     grams, inverse = np.unique(mixed, return_inverse=True)
+    inverse = inverse.astype(np.int32)
+    del raw, u, mixed, codes
     pos, neg = np.zeros(len(grams)), np.zeros(len(grams))
     spans = [inverse[s : s + max(n - 3, 1)] for s, n in zip(starts, lengths, strict=True)]
-    per_doc = [np.unique(np.concatenate([spans[w] for w in d])) if len(d) else np.empty(0, np.int64) for d in docs]
     for i in train:
-        (pos if y[i] else neg)[per_doc[i]] += 1
+        if len(docs[i]):
+            (pos if y[i] else neg)[np.unique(np.concatenate([spans[w] for w in docs[i]]))] += 1
     n_pos, n_neg = max(1, y[train].sum()), max(1, (1 - y[train]).sum())
     odds = np.log((pos + 0.2) / (n_pos + 0.4)) - np.log((neg + 0.5) / (n_neg + 1.0))
     odds[pos < max(3.0, 0.01 * n_pos)] = -9.0
     suspect = np.array([odds[s].max() for s in spans])
+    del spans, inverse, grams, pos, neg, odds
     margin = suspect - 2.5
     able = suspect > 2.5  # only these may stand for a toxic text, in every round
 
@@ -227,8 +234,8 @@ def fit(texts: list[list[str]], labels: list[int]) -> Model:
     for _ in range(ROUNDS):
         witnesses = []
         for d in (docs[i][able[docs[i]]] for i in train[y[train] == 1]):
-            if len(d):  # the most suspicious word, and all others whose odds alone are beyond doubt
-                witnesses.append(np.union1d(d[[np.argmax(margin[d])]], d[suspect[d] > 4.0]))
+            if len(d):
+                witnesses.append(d[[np.argmax(margin[d])]])
         witnesses = np.concatenate(witnesses) if witnesses else np.empty(0, np.int64)
         witnesses = witnesses[df_neg[witnesses] <= 0.002 * n_neg]
         if not len(witnesses) or not len(clean):
@@ -280,9 +287,9 @@ def train(docs: DataFrame, labels: DataFrame, learn=None) -> Model:
             ws = [words(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "words": pa.array(ws, pa.list_(pa.string()))})
 
-    got = rows.mapInArrow(run, "doc_id long, toxic int, words array<string>").toArrow().to_pydict()
-    order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["words"][i]))
-    return fit([got["words"][i] for i in order], [got["toxic"][i] for i in order])
+    got = rows.mapInArrow(run, "doc_id long, toxic int, words array<string>").toArrow().combine_chunks().sort_by("doc_id")
+    texts = [x.as_py() for x in got.column("words")]
+    return fit(texts, got.column("toxic").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
