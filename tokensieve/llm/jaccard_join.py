@@ -78,9 +78,9 @@ def fold(a: np.ndarray, size: int) -> np.ndarray:
 
 
 def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the sketch folded to an eighth."""
+    """Adds the sketch folded to half its size."""
     for b in batches:
-        small = [fold(np.frombuffer(x, np.uint8), max(4, len(x) // 8)).tobytes() for x in b.column("sketch").to_pylist()]
+        small = [fold(np.frombuffer(x, np.uint8), max(4, len(x) // 2)).tobytes() for x in b.column("sketch").to_pylist()]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(small, pa.binary())], names=[*b.schema.names, "small"])
 
 

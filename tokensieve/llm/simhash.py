@@ -72,7 +72,7 @@ def ranges(docs: DataFrame) -> tuple[Column, Column, int]:
     bounds = sorted(set(got.b or []) | ({got.m} if got.m is not None else set()))
     if not bounds:
         return F.lit(0), F.lit(True), 1
-    listed = F.expr(f"array({','.join(f'{b}L' for b in bounds)})")  # a literal, so it is folded once
+    listed = F.expr(f"array({','.join(f'{b}L' if b > -(1 << 63) else '-9223372036854775807L - 1L' for b in bounds)})")  # a literal, so it is folded once
     steps = len(bounds).bit_length()
 
     def halve(acc: Column, _: Column) -> Column:
