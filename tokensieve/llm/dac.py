@@ -160,13 +160,12 @@ class PieceEncoder:
         if not self.folds or self.words.encode(probe, add_special_tokens=False).ids != one(probe):
             self.words = self.lib
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """piece -> ids. Words of plain letters share calls of the library; each ends with a token that is marked as a word's end.
+    def _learn(self, new: set[str]) -> None:
+        """Enter pieces. Words of plain letters share calls of the library; each ends with a token that is marked as a word's end.
 
         The pre-tokenizer cuts a plain word from the stops that follow it, so both are looked up by themselves.
         """
-        got: dict[str, bytes] = {}
-        tailed, plain, rest = [], set(), []
+        known, tailed, plain, rest = self.known, [], set(), []
         for p in new:
             if p.isascii() and p.isalpha() and p.islower():
                 plain.add(p)
@@ -177,27 +176,28 @@ class PieceEncoder:
                 plain.add(p)
             else:
                 rest.append(p)
-        part_of = [w for w in plain if w not in self.known]
-        for lo in range(0, len(part_of), 2000):
-            part = part_of[lo : lo + 2000]
+        words = [w for w in plain if w not in known]
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
             ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) == len(part):
                 raw = ids.tobytes()
-                got.update(zip(part, [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+                known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
             else:
                 rest += part
         stops = {x[2] for x in tailed} - self.stops.keys()
-        for into, keys in ((got, rest), (self.stops, list(stops))):
+        for into, keys in ((known, rest), (self.stops, list(stops))):
             into.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(keys, self.lib.encode_batch_fast(keys, add_special_tokens=False), strict=True))
         for p, word, stop in tailed:
-            got[p] = (got.get(word) or self.known[word]) + self.stops[stop]
-        return got
+            known[p] = known[word] + self.stops[stop]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE:
             self.known = {}
+        if len(self.stops) > CACHE:
+            self.stops = {}
         known, get = self.known, self.known.get
         rows, new = [], set()
         for t in texts:
@@ -208,15 +208,19 @@ class PieceEncoder:
             v = list(map(get, x))
             gaps = []
             for _ in range(v.count(None)):
-                gaps.append(v.index(None, gaps[-1] + 1 if gaps else 0))
-            new.update([x[i] for i in gaps])
-            rows.append((x, v, gaps))
-        got = self._learn(new)
-        for x, v, gaps in rows:
-            for i in gaps:
-                v[i] = got[x[i]] if x[i] in got else known[x[i]]
-        known.update((p, y) for p, y in got.items() if len(p) <= 64)
-        return [b"".join(v) for _, v, _ in rows]
+                i = v.index(None, gaps[-1][0] + 1 if gaps else 0)
+                gaps.append((i, x[i]))
+            new.update([p for _, p in gaps])
+            rows.append((v, gaps))
+        self._learn(new)
+        out = []
+        for v, gaps in rows:
+            for i, p in gaps:
+                v[i] = known[p]
+            out.append(b"".join(v))
+        for p in [p for p in new if len(p) > 64]:
+            del known[p]
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
