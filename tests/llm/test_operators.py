@@ -146,6 +146,19 @@ def test_passages(spark):
     assert twice.count() == 4
 
 
+def test_passages_with_many_edits(spark):
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(40):
+        p = rnd.choices(words, k=60)
+        q = [f"e{rnd.random()}" if k % (5, 6, 7, 8)[i % 4] == 4 and k < 59 else w for k, w in enumerate(p)]
+        rows += [(2 * i + k, " ".join(rnd.choices(words, k=40) + x + rnd.choices(words, k=40)), "s", 1, None) for k, x in enumerate((p, q))]
+    got = chaining.passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(40)}
+    assert all(r.end - r.start >= 50 and r.equal >= 0.8 * (r.end - r.start) for r in got)
+
+
 def test_chain_prefers_order():
     pos, other = np.array([0, 5, 10, 12, 20]), np.array([100, 105, 3, 112, 120])
     assert chaining.chain(pos, other)[0] == [0, 1, 3, 4]
