@@ -159,6 +159,19 @@ def test_passages_with_many_edits(spark):
     assert all(r.end - r.start >= 50 and r.equal >= 0.8 * (r.end - r.start) for r in got)
 
 
+def test_passages_copied_several_times(spark):
+    rnd = random.Random(22)
+    words = [f"w{i}" for i in range(5000)]
+    p = rnd.choices(words, k=55)
+    rows = [(1, " ".join(p + rnd.choices(words, k=30)), "s", 1, None), (2, " ".join(sum((rnd.choices(words, k=9) + p for _ in range(13)), [])), "s", 1, None)]
+    rows += [(3, "again " * 400, "s", 1, None), (4, "again " * 300, "s", 1, None)]
+    docs = frame(spark, rows)
+    got = [r for r in chaining.passages(docs).collect() if r.doc_id == 2]
+    assert {x for r in got for x in range(r.start, r.end)} >= {64 * k + 9 + x for k in range(13) for x in range(55)}
+    left = {r.doc_id: r.text for r in chaining.remove_passages(docs).collect()}
+    assert left[1] == rows[0][1] and len(left[2].split()) <= 13 * 9 and len(left[4].split()) < 50
+
+
 def test_chain_prefers_order():
     pos, other = np.array([0, 5, 10, 12, 20]), np.array([100, 105, 3, 112, 120])
     assert chaining.chain(pos, other)[0] == [0, 1, 3, 4]
