@@ -172,6 +172,16 @@ def test_passages_copied_several_times(spark):
     assert left[1] == rows[0][1] and len(left[2].split()) <= 13 * 9 and len(left[4].split()) < 50
 
 
+def test_passages_with_parts_seen_before(spark):
+    rnd = random.Random(23)
+    words = [f"w{i}" for i in range(5000)]
+    x, y, z = (rnd.choices(words, k=20) for _ in range(3))
+    around = [(rnd.choices(words, k=30), rnd.choices(words, k=30)) for _ in range(4)]
+    rows = [(i + 1, " ".join(a + p + b), "s", 1, None) for i, (p, (a, b)) in enumerate(zip((x + y, y + z, x + y + z, x + y + z), around, strict=True))]
+    got = chaining.passages(frame(spark, rows)).collect()
+    assert [(r.doc_id, r.source_doc_id, r.start, r.end, r.equal) for r in got] == [(4, 3, 30, 90, 60)]
+
+
 def test_chain_prefers_order():
     pos, other = np.array([0, 5, 10, 12, 20]), np.array([100, 105, 3, 112, 120])
     assert chaining.chain(pos, other)[0] == [0, 1, 3, 4]
