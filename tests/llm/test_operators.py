@@ -92,6 +92,14 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in comp})
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    rnd = random.Random(24)
+    a, b, c, d = (prose(rnd, 40) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, c), (2, d), (3, d), (None, ""), (4, None)]
+    kept = jaccard_join.keep_one(frame(spark, [(i, t, "s", 1, None) for i, t in rows])).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (None, b), (2, c), (2, d), (None, ""), (4, None)], key=str)
+
+
 def test_simhash(spark):
     docs = frame(spark, [(r.doc_id, r.text, r.source, 1, None) for r in corpus(spark).collect() if r.doc_id != 303])
     rows = sorted(docs.collect(), key=lambda r: -r.doc_id)

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokensieve.llm.common import bounded_batches, components, join_hot, materialize, release
@@ -95,7 +95,7 @@ def set_id(s: np.ndarray) -> int:
 
 
 def describe(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, link: int, of: int) -> DataFrame:
-    """doc_id, n, kid (identifies the set; null when it is empty), first (the window's shingles) and sketch of each row."""
+    """doc_id, row, n, kid (identifies the set; null when it is empty), first (the window's shingles) and sketch of each row."""
     keys, counts = hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +111,9 @@ def describe(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, link:
                     s = s[np.argsort(np.where(keys[at] == s, counts[at], 0), kind="stable")]
                 first.append(signed(s[: prefix(len(s), link, of)]) if len(s) else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32), np.concatenate(first) if first else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(kid, pa.int64()), lists, pa.array(sk, pa.binary())], names=["doc_id", "n", "kid", "first", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n, pa.int64()), pa.array(kid, pa.int64()), lists, pa.array(sk, pa.binary())], names=["doc_id", "row", "n", "kid", "first", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, kid long, first array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, kid long, first array<long>, sketch binary")
 
 
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -287,9 +287,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, link: int = LINK, of
     that links reach. A repeated doc_id is a document each time; a null doc_id takes part and is never the
     smallest. Other columns are ignored. Sets are told apart by 64-bit hashes, as are shingles.
     """
+    return named_rows(docs, words, link, of).select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+def row_key() -> Column:
+    """Identifies a row by doc_id and text."""
+    d, t = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.xxhash64(d, t, d.isNull(), t.isNull())
+
+
+def named_rows(docs: DataFrame, words: int, link: int, of: int) -> DataFrame:
+    """The columns of jaccard_components, row (see row_key) and component, which is null for the empty set and else tells components apart whatever their doc_ids."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
     hot = frequent_shingles(docs, words)
     all_rows = materialize(describe(docs, hot, words, link, of), "shingle-sets")
     classes = materialize(all_rows.where("kid IS NOT NULL").groupBy("kid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("at"), F.max("n").alias("n")), "shingle-classes")
@@ -332,23 +343,31 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, link: int = LINK, of
     comp = classes.join(final.select(F.col("node").alias("kid"), "component"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
     comp = materialize(comp.select("kid", "rep", "copies", "component"), "class-components")
     lowest = materialize(comp.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("m")), "component-ids")
-    comp = materialize(join_hot(comp, lowest, ["component"], "m", comp.count(), ["kid"]).select("kid", F.col("rep").alias("class_id"), "copies", "component_id"), "class-ids")
-    out = join_hot(all_rows.select("doc_id", F.col("n").alias("n_shingles"), "kid").withColumn("_r", F.monotonically_increasing_id()), comp, ["kid"], "copies", all_rows.count(), ["_r"])
+    comp = materialize(join_hot(comp, lowest, ["component"], "m", comp.count(), ["kid"]).select("kid", F.col("rep").alias("class_id"), "copies", "component_id", "component"), "class-ids")
+    out = join_hot(all_rows.select("doc_id", "row", F.col("n").alias("n_shingles"), "kid").withColumn("_r", F.monotonically_increasing_id()), comp, ["kid"], "copies", all_rows.count(), ["_r"])
     none = F.col("kid").isNull()
-    return out.select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", "component")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, link: int = LINK, of: int = OF) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays; of rows that repeat it, one.
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays, nulls last; of those that share it the first by text, once.
 
-    Rows without words stay, and so do rows with a null doc_id that are linked with none of known doc_id.
+    Rows without words stay.
     """
-    named = jaccard_components(docs, words, link, of)
-    verdict = named.groupBy("doc_id").agg(F.max((F.col("n_shingles") == 0) | F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull())).alias("_keep"), F.count("*").alias("_n"))
-    verdict = materialize(verdict.where("doc_id IS NOT NULL"), "verdict")
-    rows = docs.join(verdict.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").where("_keep IS NULL OR _keep")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    if verdict.where("_n > 1").limit(1).count():
-        once = rows.where("coalesce(_n, 1) <= 1")
-        rows = once.unionByName(rows.where("_n > 1").withColumn("_r", again).where("_r = 1").drop("_r"))
-    return rows.select(*docs.columns)
+    named = materialize(named_rows(docs, words, link, of).select("doc_id", "row", "component"), "named-rows")
+    some = named.where("component IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    lowest = some.groupBy("component").agg(F.min(order).alias("l")).select("component", F.col("l.doc_id").alias("low"))
+    best = materialize(some.distinct().join(lowest, "component").where("doc_id <=> low").select("row", "component"), "best-rows")
+    rows = docs.withColumn("_row", row_key())
+    tied = best.join(best.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi")
+    texts = rows.select(F.col("_row").alias("row"), "text").join(tied, "row")
+    first = texts.groupBy("component").agg(F.min(F.struct("text", "row")).alias("l")).select("component", F.col("l.row").alias("row"))
+    keep = materialize(best.join(tied.select("component").distinct(), "component", "left_anti").select("row").unionByName(first.select("row")), "kept-rows")
+    again = materialize(named.groupBy("row").count().where("count > 1").select("row").join(keep, "row", "left_semi"), "kept-again")
+    bare = rows.join(named.where("component IS NULL").select(F.col("row").alias("_row")).distinct(), "_row", "left_semi")
+    kept = rows.join(keep.withColumnRenamed("row", "_row"), "_row", "left_semi")
+    if again.limit(1).count():
+        twice = again.withColumnRenamed("row", "_row")
+        kept = kept.join(twice, "_row", "left_anti").unionByName(kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.unionByName(bare).select(*docs.columns)
