@@ -58,8 +58,6 @@ def test_probabilities_scores_and_confusion(spark):
     assert (r.ham_right, r.ham_wrong, r.spam_right, r.spam_wrong) == (1, 1, 1, 3)
     e = E.error_rates(c, ["fold"]).first()
     assert (e.fp_rate, e.fn_rate, e.unsure_rate) == (50.0, 75.0, 0.0)
-    swap = test.withColumn("is_spam", ~F.col("is_spam"))
-    del swap
     mirror = M.learn(msgs(spark, [("1", True, ["a", "b", "c"]), ("2", True, ["a", "b"]), ("3", False, ["c", "d"])]))
     other = {r.msg_id: r.score for r in S.score_messages(test, M.token_probability(mirror)).collect()}
     assert all(abs(other[k] + v - 1) < 1e-5 for k, v in got.items())
@@ -171,3 +169,194 @@ def test_rebalance(spark):
     sets = spark.createDataFrame([(i, 1 if i < 7 else 2 if i < 9 else 0) for i in range(12)], "k long, set_no int")
     got = C.rebalance(sets, "k", "set_no", 4).groupBy("set_no").count().collect()
     assert {r.set_no: r["count"] for r in got} == {1: 4, 2: 4, 0: 4}
+
+
+def test_null_contents_are_copies_of_each_other(spark):
+    from tokensieve.operators import corpus as C
+
+    rows = spark.createDataFrame([(1, "x"), (2, None), (3, None), (4, "y")], "k long, t string")
+    assert sorted((r.k, r.first, r.n) for r in C.first_copies(rows, "t", "k").collect()) == [(1, 1, 1), (2, 2, 2), (3, 2, 2), (4, 4, 1)]
+
+
+def test_ranked_is_row_number(spark):
+    from tokensieve.operators import corpus as C
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None, (i * 37) % 50) for i in range(300)], "k long, g string, o long")
+    got = {r.k: r.n for r in C.ranked(rows, ["g"], F.col("o"), [F.col("k")], "n", 8).collect()}
+    for g in ("a", "b", None):
+        mine = sorted((r.o, r.k) for r in rows.collect() if r.g == g)
+        assert [got[k] for _, k in mine] == list(range(1, len(mine) + 1))
+    assert C.ranked(rows.limit(0), [], F.col("o"), [], "n").count() == 0
+
+
+def replay_by_hand(rows, regime, o):
+    """The regimes as their rules say, message by message, with the model kept as plain lists."""
+    trained, out, wrong, group = [], [], [], None
+
+    def probability(t):
+        ham, spam = (sum(t in x for x, s in trained if s is b) for b in (False, True))
+        if not ham + spam:
+            return 0.5
+        nh, ns = (max(1, sum(s is b for _, s in trained)) for b in (False, True))
+        return (0.45 * 0.5 + (ham + spam) * (spam / ns / (ham / nh + spam / ns))) / (0.45 + ham + spam)
+
+    def score(tokens):
+        p = [x for x in map(probability, set(tokens)) if abs(x - 0.5) >= 0.1]
+        if not p:
+            return 0.5
+
+        def q(m, n):
+            return min(1.0, sum(math.exp(-m + i * math.log(m) - math.lgamma(i + 1)) for i in range(n)))
+
+        s, h = (1 - q(-sum(math.log(f(x)) for x in p), len(p)) for f in (lambda x: 1 - x, lambda x: x))
+        return (s - h + 1) / 2
+
+    for grp, is_spam, tokens in rows:
+        if group is not None and grp != group and regime in ("corrected", "balanced_corrected"):
+            for tk, guess, spam in wrong:
+                if guess:
+                    trained.remove((tk, guess < 0))
+                trained.append((tk, spam))
+            wrong = []
+        group = grp
+        s = score(tokens)
+        guess, actual = (1 if s < o.ham_cutoff else -1 if s >= o.spam_cutoff else 0), (-1 if is_spam else 1)
+        n = [sum(x is b for _, x in trained) for b in (False, True)]
+        if regime in ("corrected", "balanced_corrected"):
+            as_ = guess
+            if regime == "balanced_corrected" and guess and all(n) and ((n[0] / n[1] > 2 and guess == 1) or (n[0] / n[1] < 0.5 and guess == -1)):
+                as_ = 0
+            elif guess != actual:
+                wrong.append((tokens, guess, is_spam))
+        elif regime == "fpfnunsure":
+            as_ = actual if guess != actual else 0
+        elif regime == "fnunsure":
+            as_ = actual if guess != actual and guess >= 0 else 0
+        elif regime == "nonedge":
+            as_ = actual if guess != actual or 0.005 < s < 0.995 else 0
+        else:
+            as_ = actual
+        if as_:
+            trained.append((tokens, as_ < 0))
+        out.append((round(s, 6), guess, as_))
+    return out
+
+
+@pytest.mark.parametrize("regime", ["perfect", "corrected", "balanced_corrected", "fpfnunsure", "fnunsure", "nonedge"])
+def test_regimes_against_plain_replay(spark, regime):
+    import random
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(60):
+        spam = rnd.random() < 0.3
+        rows.append((0, i, i // 15, i, spam, sorted(rnd.sample("abcdefg" if spam else "efghijkl", rnd.randint(1, 5)))))
+    m = spark.createDataFrame(rows, "fold long, seq long, grp long, msg_id long, is_spam boolean, tokens array<string>")
+    o = EngineOptions()
+    got = [(round(r.score, 6), r.guess, r.trained) for r in P.replay(m, regime, o).orderBy("msg_id").collect()]
+    assert got == replay_by_hand([(g, s, t) for _, _, g, _, s, t in rows], regime, o)
+
+
+def test_weak_decisions():
+    o = EngineOptions()
+    d = lambda name, s, spam: P.DECISIONS[name](s, spam, o)
+    assert [d("unsureonly", s, True) for s in (0.1, 0.5, 0.95)] == [None, True, None]
+    assert [d("unsureandfalses", s, False) for s in (0.1, 0.5, 0.95)] == [None, False, False]
+    assert [d("allbut0and100", s, True) for s in (0.1, 0.996)] == [True, None]
+    assert [d("owndecision", s, True) for s in (0.1, 0.5, 0.95)] == [False, None, True]
+    assert [d("owndecision+fn", s, True) for s in (0.1, 0.5, 0.95)] == [True, True, True] and d("owndecision+fn", 0.95, False) is True
+
+
+def test_bigram_tiling_against_greedy(spark):
+    import random
+
+    rnd = random.Random(3)
+    probs = {t: rnd.choice([0.05, 0.2, 0.3, 0.45, 0.8, 0.99]) for t in [*"abcdef", *[f"bi:{x} {y}" for x in "abcdef" for y in "abcdef"]]}
+    texts = [[rnd.choice("abcdef") for _ in range(rnd.randint(0, 12))] for _ in range(20)]
+    m = spark.createDataFrame(list(enumerate(texts)), "msg_id long, tokens array<string>")
+    got = {}
+    for r in S.tile_bigrams(m, spark.createDataFrame(list(probs.items()), "token string, prob double")).orderBy("msg_id", "rank").collect():
+        got.setdefault(r.msg_id, []).append(r.token)
+    for i, t in enumerate(texts):
+        at = {}
+        for k, w in enumerate(t):
+            at.setdefault(w, (k, k))
+            if k:
+                at.setdefault(f"bi:{t[k - 1]} {w}", (k - 1, k))
+        used, want = set(), []
+        for w in sorted((w for w in at if abs(probs[w] - 0.5) >= 0.1), key=lambda w: (abs(probs[w] - 0.5), probs[w], w), reverse=True):
+            if not used & set(at[w]):
+                used |= set(at[w])
+                want.append(w)
+        assert got.get(i, []) == want
+
+
+def test_evidence_is_wrapped(spark):
+    from tokensieve.operators import review as V
+
+    parts = [f"'token{i}': 0.{i:02d}" for i in range(12)]
+    r = spark.createDataFrame([(parts,)], "p array<string>").select(V.wrapped("X-Sieve-Evidence", F.col("p")).alias("w")).first()
+    assert r.w.replace(";\n\t", "; ") == "; ".join(parts) and r.w.count(";\n\t") >= 2
+    clues = spark.createDataFrame([([("*H*", 0.1), ("*S*", 0.9), ("it's", 0.01), ("plain", 0.4)],)], "c array<struct<token:string,prob:double>>")
+    assert clues.select(V.shown_clues(F.col("c"), 0.3).alias("x")).first().x == ["'*H*': 0.10", "'*S*': 0.90", "\"it's\": 0.01"]
+    marked = spark.createDataFrame([("spam,hello",), ("spam,spam,x",), ("hello",)], "t string")
+    assert [r.x for r in marked.select(V.unnotate(F.col("t"), F.lit("spam")).alias("x")).collect()] == ["hello", "spam,x", "hello"]
+
+
+def test_message_rules(spark):
+    from tokensieve.functions import message as MSG
+
+    one = spark.createDataFrame([(["ab@x.org", "abc@x.org"], ["solo@x.org"])], "a array<string>, b array<string>")
+    r = one.select(MSG.recipient_summary(F.col("a")).alias("a"), MSG.recipient_summary(F.col("b")).alias("b")).first()
+    assert r.a == ["pfxlen:0", "sfxlen:1"] and r.b == []
+    lines = list(MSG.HABEAS.items())
+    for heads, want in ((lines, ["x-habeas-swe:valid"]), (lines[:3], []), ([*lines[:8], ("x-habeas-swe-9", "wrong")], ["x-habeas-swe:invalid"])):
+        h = spark.createDataFrame([(heads,)], "h array<struct<name:string,value:string>>")
+        assert h.select(MSG.habeas_tokens(F.col("h"), reduce=True).alias("x")).first().x == want
+    t = spark.createDataFrame([("QUJD\nRA==\nrest\n",), ("QUJDR\nx y\n",)], "t string").select(MSG.repair_base64(F.col("t")).alias("x")).collect()
+    assert [r.x for r in t] == ["ABCDrest\n", "x y\n"]
+
+
+def test_forms_and_exports(spark, tmp_path):
+    files = spark.createDataFrame([("a", b"5\nhelloTRAILER")], "msg_id string, raw binary")
+    assert bytes(mail.unwrap_emlx(files).first().raw) == b"hello"
+    box = spark.createDataFrame([("From here on\nFrom a@b Mon Jan 1\n",)], "t string")
+    assert box.select(mail.clean_mbox(F.col("t")).alias("x")).first().x == ">From here on\nFrom a@b Mon Jan 1\n"
+    form = spark.createDataFrame([("v", 2)], "a string, b int").select(mail.form_message({"A": F.col("a"), "B": F.col("b")}).alias("x")).first().x
+    assert form.startswith("X-Form-A: v\r\nX-Form-B: 2\r\n\r\n")
+    store.write_corpus(spark.createDataFrame([("m1.txt", b"x"), ("m2.bin", b"y")], "msg_id string, raw binary"), str(tmp_path / "c"))
+    assert [r.msg_id for r in store.read_corpus(spark, str(tmp_path / "c"), "*.txt").collect()] == ["m1.txt"]
+
+
+def test_store_factory_and_conversion(spark, tmp_path):
+    m = M.learn(msgs(spark, [("1", True, ["a", "b"]), ("2", False, ["b"])]))
+    a, b = store.open_store(spark, str(tmp_path / "a")), store.open_store(spark, f"csv:{tmp_path}/b")
+    with pytest.raises(FileNotFoundError):
+        a.load()
+    a.save(m)
+    store.convert_store(a, b)
+    assert isinstance(b, store.CsvStore) and info(b.load()) == info(m)
+    assert store.probability_table(m, str(tmp_path / "p")).columns == ["token", "prob"]
+
+
+def test_learning_counts_a_batch_once(spark, tmp_path):
+    """A batch that comes again after a restart, with a new query and no memory of the old one, is left out."""
+    from tokensieve.streaming import online
+
+    st = store.ModelStore(spark, str(tmp_path / "model"))
+    st.save(online.empty_model(spark))
+    spark.createDataFrame([("1", "idiot clown", True, 1)], "msg_id string, text string, is_spam boolean, sign int").write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("msg_id string, text string, is_spam boolean, sign int").parquet(str(tmp_path / "in"))
+    for run in range(2):  # the second checkpoint knows nothing, so batch 0 comes again
+        q = online.learn_stream(src, st, str(tmp_path / f"cp{run}"))
+        q.processAllAvailable()
+        q.stop()
+    assert info(st.load())["idiot"] == (0, 1) and st.epoch() == 0
+    skipped = []
+    known = spark.createDataFrame([("1",)], "msg_id string")
+    q = online.score_stream(src.select("msg_id", "text"), st, lambda df, e: skipped.extend(df.collect()), str(tmp_path / "cps"), lambda: known)
+    q.processAllAvailable()
+    q.stop()
+    assert skipped == []
+    sent = spark.createDataFrame([("1", "x", "Spam@here"), ("2", "y", "ham@here"), ("3", "z", "me@here")], "msg_id string, text string, rcpt string")
+    assert {r.msg_id: r.is_spam for r in online.by_address(sent, "rcpt", "ham@here", "spam@here").collect()} == {"1": True, "2": False}

@@ -11,12 +11,18 @@ URL_SEPARATORS = r"[;?:@&=+,$.]"
 FILE_SEPARATORS = r"[/\\:]"
 #: Patterns of HTML parts that are taken out, of virus clues and of URLs.
 TAG = r"<[^\s<>][^>]{0,255}>"
-BREAKING = r"(?i)&nbsp;|<\s*(?:p|br)\s*/?>"
+BREAKING = r"&nbsp;|<(?:p|br)>"
 STYLE = r"(?s)<\s*style\b[^>]*>.*?</style>"
 COMMENT = r"(?s)<!--.*?-->|<\s*comment\s*>.*?</comment>"
 NOFRAMES = r"(?s)<\s*noframes\s*>.*?</noframes\s*>"
 VIRUS = r"</?\s*(?:script|iframe)\b|\bsrc=['\"]?cid:|\b(?:height|width)=['\"]?0"
 URL = r"(https?|ftp)://([^\s<>\"'\x7f-\xff]+)"
+#: What Received and Message-Id headers are searched for.
+COMPLAINT, RELAY, RELAY_IP = r"\([a-z]+(?:\s+[a-z]+)+\)", r"from ([a-z0-9._-]+[a-z])[)\s]", r"[\[(]((?:\d{1,3}\.?){4})[\])]"
+MESSAGE_ID = r"^\s*<[^@]+@([^>]+)>\s*"
+#: What a body is cleaned of before fuzzy checksums, in turn, and words that are left out.
+CLEANING = [("[0-9]+", "#"), ("(&nbsp;)+", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), (r"\n+", "\n"), (r"[ \t]+", " ")]
+LINKS, LINK_WORD = ["ftp:", "mailto:", "http:", "gopher:"], "pmguid:"
 NO_STRINGS = "array<string>"
 
 
@@ -156,8 +162,8 @@ def x_mailer(header: Column) -> Column:
 def received_tokens(header: Column) -> Column:
     """Complaints, the suffixes of the sending host and the prefixes of its address."""
     h = F.lower(F.array_join(raw_words(header), " "))
-    complaints = F.regexp_extract_all(h, F.lit(r"\([a-z]+(?:\s+[a-z]+)+\)"), F.lit(0))
-    host, ip = F.regexp_extract(h, r"from ([a-z0-9._-]+[a-z])[)\s]", 1), F.regexp_extract(h, r"[\[(]((?:\d{1,3}\.?){4})[\])]", 1)
+    complaints = F.regexp_extract_all(h, F.lit(COMPLAINT), F.lit(0))
+    host, ip = F.regexp_extract(h, RELAY, 1), F.regexp_extract(h, RELAY_IP, 1)
     none = F.array().cast(NO_STRINGS)
     tail = F.when(host == "", none).otherwise(F.transform(F.sequence(F.lit(1), F.size(F.split(host, r"\."))), lambda i: F.array_join(F.slice(F.split(host, r"\."), -i, i), ".")))
     head = F.when(ip == "", none).otherwise(dotted_prefixes(ip))
@@ -169,7 +175,7 @@ def dotted_prefixes(ip: Column) -> Column:
 
 
 def message_id_token(header: Column) -> Column:
-    host = F.regexp_extract(F.coalesce(header, F.lit("")), r"^\s*<[^@]+@([^>]+)>\s*", 1)
+    host = F.regexp_extract(F.coalesce(header, F.lit("")), MESSAGE_ID, 1)
     return F.when(host != "", F.concat(F.lit("message-id:@"), host)).otherwise("message-id:invalid")
 
 
@@ -189,20 +195,32 @@ def bigrams(tokens: Column) -> Column:
     return F.concat(F.slice(tokens, 1, 1), F.flatten(pairs))
 
 
+def linkless(words: Column) -> Column:
+    """The words that are no addresses or links."""
+    link = lambda w: F.contains(w, F.lit("@")) | (w == LINK_WORD)
+    for p in LINKS:
+        link = lambda w, link=link, p=p: link(w) | w.startswith(p)
+    return F.filter(words, lambda w: ~link(w))
+
+
 def clean_body(text: Column) -> Column:
     """A body without tags, digits, repeated space, URLs and addresses, for fuzzy checksums."""
     t = F.lower(F.regexp_replace(text, "<[^>]*>", ""))
-    for pattern, by in (("[0-9]+", "#"), ("(&nbsp;)+", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), (r"\n+", "\n"), (r"[ \t]+", " ")):
+    for pattern, by in CLEANING:
         t = F.regexp_replace(t, pattern, by)
-    bad = lambda w: F.contains(w, F.lit("@")) | w.startswith("ftp:") | w.startswith("mailto:") | w.startswith("http:") | w.startswith("https:") | w.startswith("pmguid:")
-    return F.array_join(F.filter(F.split(t, " "), lambda w: ~bad(w)), " ")
+    return F.array_join(linkless(F.split(t, " ")), " ")
+
+
+def loose_lines(text: Column) -> Column:
+    """The lines of several words of a body without tags, URLs and addresses, for loose checksums."""
+    t = F.lower(F.regexp_replace(text, "<[^>]*>", ""))
+    return F.filter(F.split(F.array_join(linkless(F.split(t, " ")), " "), "\n"), lambda line: F.contains(line, F.lit(" ")))
 
 
-def fuzzy_checksum(text: Column) -> Column:
-    """Four digests of the quarters of the cleaned lines."""
-    lines = F.split(clean_body(text), "\n")
+def quarters(lines: Column) -> Column:
+    """Four digests of the quarters of an array of lines. Give a column: an expression would be evaluated for each quarter."""
     size = F.floor(F.size(lines) / 4).cast("int") + 1
-    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.md5(F.array_join(F.slice(lines, i * size + 1, size), "\n").cast("binary")))
+    return F.array(*[F.md5(F.array_join(F.slice(lines, i * size + 1, size), "\n").cast("binary")) for i in range(4)])
 
 
 def header_block(raw: Column) -> Column:

@@ -5,33 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokensieve.functions.text import fuzzy_checksum
+from tokensieve.functions.text import clean_body, loose_lines, quarters
+
+#: Slices that an order is cut into for numbering.
+SLICES = 256
 
 
 def first_copies(messages: DataFrame, content: str, order: str) -> DataFrame:
-    """order, first, n: for each message the first with the same content, and how many there are.
+    """order, first, n: for each message the first with the same content, and how many there are; null contents are alike.
 
     Only a digest is shuffled; the group's first comes from an aggregate, so copies do not meet in one window.
     """
-    rows = messages.select(order, F.md5(F.col(content).cast("binary")).alias("digest"))
+    rows = messages.select(order, F.coalesce(F.md5(F.col(content).cast("binary")), F.lit("null")).alias("digest"))
     group = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     return rows.join(group, "digest").select(order, "digest", "first", "n")
 
 
-def checksum_keys(messages: DataFrame, key: str, text: str) -> DataFrame:
-    """key, sub: the three keys that two adjacent parts of the fuzzy checksum make."""
-    c = messages.select(key, fuzzy_checksum(F.col(text)).alias("c"))
+def checksum_keys(messages: DataFrame, key: str, text: str, loose: bool = False) -> DataFrame:
+    """key, sub: the three keys that two adjacent parts of the fuzzy checksum make. A null text has none."""
+    lines = loose_lines(F.col(text)) if loose else F.split(clean_body(F.col(text)), "\n")
+    # the lines are a column of their own, so they are made once for all quarters
+    c = messages.where(F.col(text).isNotNull()).select(key, lines.alias("l")).select(key, quarters(F.col("l")).alias("c"))
     subs = F.array(*[F.concat(F.lit(f"{i}:"), F.col("c")[i], F.lit("."), F.col("c")[i + 1]) for i in range(3)])
     return c.select(key, F.explode(subs).alias("sub"))
 
 
 def fuzzy_matches(messages: DataFrame, key: str, text: str) -> DataFrame:
-    """key, first: the first earlier message that shares two adjacent parts of the checksum."""
+    """key, first: the first earlier message that shares two adjacent parts of the checksum.
+
+    The first of each key comes from an aggregate; the join that follows has as many rows as keys, and a hot key is split by the adaptive join.
+    """
     keys = checksum_keys(messages, key, text)
-    first = keys.groupBy("sub").agg(F.min(key).alias("first"))
+    first = keys.groupBy("sub").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
     return keys.join(first, "sub").where(F.col("first") < F.col(key)).groupBy(key).agg(F.min("first").alias("first"))
 
 
+def by_md5(key: str, seed: int = 0) -> tuple[Column, Column]:
+    """(number, digest): an order that looks random and is the same everywhere; the number is the first 15 digits of the digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), digest
+
+
+def ranked(rows: DataFrame, by: list[str], order: Column, ties: list[Column], name: str, slices: int = SLICES) -> DataFrame:
+    """rows with their number within a group in order of a numeric column, then of ties; no task sorts a whole group.
+
+    The order is cut into slices at quantiles; rows are numbered within slices and the sizes of the slices before are added. The
+    broadcast tables have ``slices`` bounds, and the window over slices sees as many rows a group.
+    """
+    rows = rows.withColumn("_o", order)
+    cuts = rows.agg(F.percentile_approx("_o", [i / slices for i in range(1, slices)], 10 * slices).alias("_cuts"))
+    rows = rows.crossJoin(F.broadcast(cuts)).withColumn("_slice", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<long>")), lambda c: c < F.col("_o")))).drop("_cuts")
+    sizes = rows.groupBy(*by, "_slice").agg(F.count("*").alias("_m"))
+    before = F.sum("_m").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_slice").alias("_s"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_slice") == F.col("_s")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    rows = rows.join(sizes, same).withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_o", *ties)))
+    return rows.drop("_o", "_slice", "_s", "_before", *[f"_by{i}" for i in range(len(by))])
+
+
 def newest(rows: DataFrame, order: list[Column], keep: int) -> DataFrame:
     """The ``keep`` rows that come last."""
     return rows.orderBy(*order).limit(keep)
@@ -51,9 +84,9 @@ def deal_sets(messages: DataFrame, order: str, group: str, sets: int, per_set: i
     is bounded by groups * sets * per_set rows, which one window numbers.
     """
     inside = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    rank = messages.select(group).distinct().withColumn("_g", F.dense_rank().over(Window.orderBy(group)))
-    rows = messages.select(order, group).withColumn("_k", inside).join(F.broadcast(rank), group)
-    kept = (F.col("_g") <= groups) & (F.col("_k") <= sets * per_set)
+    early = messages.select(group).distinct().orderBy(group).limit(groups).withColumn("_g", F.lit(1))
+    rows = messages.select(order, group).withColumn("_k", inside).join(F.broadcast(early), group, "left")
+    kept = F.col("_g").isNotNull() & (F.col("_k") <= sets * per_set)
     turn = (F.row_number().over(Window.orderBy(group, order)) - 1) % sets + 1
     dealt = rows.where(kept).select(order, group, turn.cast("int").alias("set_no"))
     return dealt.unionByName(rows.where(~kept).select(order, group, F.lit(0).alias("set_no"))).select(order, "set_no")
@@ -111,28 +144,38 @@ def span_average(daily: DataFrame, order: str, right: str, total: str, span: int
 
 
 def sample_keep(messages: DataFrame, by: str, key: str, keep: int, seed: int) -> DataFrame:
-    """``keep`` messages of each directory by seeded hash; not bit-compatible with any generator of random numbers."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return messages.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
+    """``keep`` messages of each directory by seeded digest; not bit-compatible with any generator of random numbers."""
+    number, digest = by_md5(key, seed)
+    return ranked(messages, [by], number, [digest], "_r").where(F.col("_r") <= keep).drop("_r")
 
 
 def split_percent(messages: DataFrame, key: str, percent: float, seed: int) -> DataFrame:
     """messages with part 1 for about ``percent`` of them, else 2."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    return messages.withColumn("part", F.when(u * 100.0 < percent, 1).otherwise(2))
+    u = (by_md5(key, seed)[0] % 1_000_000) / 10_000.0
+    return messages.withColumn("part", F.when(u < percent, 1).otherwise(2))
 
 
 def split_n(messages: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    return messages.withColumn("part", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n)).cast("int"))
+    return messages.withColumn("part", (by_md5(key, seed)[0] % n).cast("int"))
+
+
+def equal_parts(messages: DataFrame, key: str, n: int) -> DataFrame:
+    """messages with part 1 to n, of sizes that differ by one at most, the first ones larger."""
+    number, digest = by_md5(key)
+    total = messages.agg(F.count("*").alias("_n"))
+    rows = ranked(messages, [], number, [digest], "_r").crossJoin(F.broadcast(total))
+    size, more = F.floor(F.col("_n") / n), F.col("_n") % n
+    large = more * (size + 1)
+    part = F.when(F.col("_r") <= large, F.ceil(F.col("_r") / (size + 1))).otherwise(more + F.ceil((F.col("_r") - large) / F.greatest(size, F.lit(1))))
+    return rows.withColumn("part", part.cast("int")).drop("_r", "_n")
 
 
 def rebalance(messages: DataFrame, key: str, set_col: str, size: int) -> DataFrame:
-    """key, set_no: every set brought to ``size`` messages; the surplus goes to the reservoir (0), which refills the others."""
-    w = Window.partitionBy(set_col).orderBy(F.xxhash64(key), key)
-    ranked = messages.select(key, set_col, F.row_number().over(w).alias("_r"))
-    stay = ranked.where((F.col(set_col) != 0) & (F.col("_r") <= size))
-    spare = ranked.where((F.col(set_col) == 0) | (F.col("_r") > size)).select(key)
-    spare = spare.withColumn("_n", F.row_number().over(Window.orderBy(F.xxhash64(key), key)))
+    """key, set_no: every set brought to ``size`` messages; the surplus goes to the reservoir (0), which refills the others. Sets are few, and broadcast."""
+    number, digest = by_md5(key)
+    rows = ranked(messages.select(key, set_col), [set_col], number, [digest], "_r")
+    stay = rows.where((F.col(set_col) != 0) & (F.col("_r") <= size))
+    spare = ranked(rows.where((F.col(set_col) == 0) | (F.col("_r") > size)).select(key), [], number, [digest], "_n")
     need = messages.where(F.col(set_col) != 0).groupBy(set_col).count().select(F.col(set_col).alias("to"), F.greatest(F.lit(size) - F.col("count"), F.lit(0)).alias("need"))
     last = F.sum("need").over(Window.orderBy("to"))
     need = need.select("to", (last - F.col("need")).alias("a"), last.alias("b"))
@@ -141,9 +184,15 @@ def rebalance(messages: DataFrame, key: str, set_col: str, size: int) -> DataFra
 
 
 def interleave(messages: DataFrame, key: str) -> DataFrame:
-    """messages with pos: ham and spam in an order that keeps their shares even throughout."""
-    w = Window.partitionBy("is_spam").orderBy(key)
-    n = messages.groupBy("is_spam").agg(F.count("*").alias("_n"))
-    at = (F.row_number().over(w) - 0.5) / F.col("_n")
-    rows = messages.join(F.broadcast(n), "is_spam").withColumn("_at", at)
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy("_at", "is_spam", key))).drop("_n", "_at")
+    """messages with pos: ham and spam in an order that keeps their shares even throughout. key is a number.
+
+    A message of rank r among n of its class stands at (r - 0.5) / n; its position follows from how many of the other class stand before, which
+    is arithmetic, so nothing is sorted as a whole.
+    """
+    n = messages.groupBy().agg(F.sum(F.col("is_spam").cast("long")).alias("_ns"), F.sum((~F.col("is_spam")).cast("long")).alias("_nh"))
+    rows = ranked(messages, ["is_spam"], F.col(key), [], "_r").crossJoin(F.broadcast(n))
+    own, other = F.when(F.col("is_spam"), F.col("_ns")).otherwise(F.col("_nh")), F.when(F.col("is_spam"), F.col("_nh")).otherwise(F.col("_ns"))
+    # the other class has s before it where (s - 0.5) / other < (r - 0.5) / own; ham comes first where they stand alike
+    at = (2 * F.col("_r") - 1) * other + own
+    before = F.when(F.col("is_spam"), F.floor(at / (2 * own))).otherwise(F.ceil(at / (2 * own)) - 1)
+    return rows.withColumn("pos", (F.col("_r") + F.least(other, F.greatest(before, F.lit(0)))).cast("long")).drop("_r", "_ns", "_nh")

@@ -213,7 +213,7 @@ def prequential(messages: DataFrame, o: EngineOptions = DEFAULT, window: int | N
     sizes = messages.groupBy("grp").agg(F.sum(spam).alias("s"), F.sum(1 - spam).alias("h"))
     all_ = Window.orderBy("grp").rangeBetween(Window.unboundedPreceding if window is None else -window, -1)
     base = sizes.select("grp", F.coalesce(F.sum("s").over(all_), F.lit(0)).alias("ns"), F.coalesce(F.sum("h").over(all_), F.lit(0)).alias("nh"))
-    totals = messages.select("msg_id", "seq", "grp", "is_spam").join(F.broadcast(base), "grp")
+    totals = messages.select("msg_id", "seq", "grp", "is_spam").join(base, "grp")
     if window is None:
         inner = Window.partitionBy("grp").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.withColumn("ns", F.col("ns") + F.coalesce(F.sum(spam).over(inner), F.lit(0))).withColumn("nh", F.col("nh") + F.coalesce(F.sum(1 - spam).over(inner), F.lit(0)))

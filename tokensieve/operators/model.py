@@ -94,6 +94,7 @@ def pure_words(model: Model, spam: bool, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(own), "token").limit(limit)
 
 
-def inverted_index(messages: DataFrame) -> DataFrame:
-    """token, is_spam, the number of messages and their ids in order."""
-    return exploded(messages, "msg_id", "is_spam").groupBy("token", "is_spam").agg(F.count("*").alias("n_msgs"), F.sort_array(F.collect_list("msg_id")).alias("msg_ids"))
+def inverted_index(messages: DataFrame, block: int = 4096) -> DataFrame:
+    """token, is_spam, block, the number of messages and their ids in order. A row has the ids of one block, so a token that all messages hold makes many rows of bounded size."""
+    rows = exploded(messages, "msg_id", "is_spam").withColumn("block", F.floor(F.col("msg_id") / block))
+    return rows.groupBy("token", "is_spam", "block").agg(F.count("*").alias("n_msgs"), F.sort_array(F.collect_list("msg_id")).alias("msg_ids"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokensieve.operators.model import Model, combine, learn
 from tokensieve.options import DEFAULT, EngineOptions
 
 #: For each component, whether a score on the ham cutoff is still ham and one on the spam cutoff already spam.
@@ -84,17 +85,74 @@ class Counts:
 REGIMES: dict[str, Callable[[int, int, float], int]] = {
     "perfect": lambda guess, actual, score: actual,
     "corrected": lambda guess, actual, score: guess,
+    "balanced_corrected": lambda guess, actual, score: guess,
     "fpfnunsure": lambda guess, actual, score: actual if guess != actual else 0,
     "fnunsure": lambda guess, actual, score: actual if guess == 0 or (actual < 0 and guess > 0) else 0,
     "nonedge": lambda guess, actual, score: actual if guess != actual or 0.005 < score < 0.995 else 0,
 }
 
 
+#: Messages of a class that may be trained for each of the other before ``balanced_corrected`` trains no more of it on its own guess.
+RATIO = 2.0
+#: name -> (score, is_spam, options) -> True to train as spam, False as ham, None not at all.
+DECISIONS: dict[str, Callable[[float, bool, EngineOptions], bool | None]] = {
+    "all": lambda s, spam, o: spam,
+    "allbut0and100": lambda s, spam, o: spam if (s < 0.995 if spam else s > 0.005) else None,
+    "unsureonly": lambda s, spam, o: spam if o.ham_cutoff < s < o.spam_cutoff else None,
+    "unsureandfalses": lambda s, spam, o: spam if (s < o.spam_cutoff if spam else s > o.ham_cutoff) else None,
+    "owndecision": lambda s, spam, o: False if s < o.ham_cutoff else True if s > o.spam_cutoff else None,
+    "owndecision+fn": lambda s, spam, o: True if spam else DECISIONS["owndecision"](s, spam, o),
+}
+
+
+def weak_test(messages: DataFrame, decision: str, first_n: int = 0, o: EngineOptions = DEFAULT) -> DataFrame:
+    """fold, msg_id, score, trained (1 ham, -1 spam, 0 not) of messages (fold, seq, msg_id, is_spam, tokens) learned one by one in order of seq.
+
+    Each is scored by what was trained before it; the decision says whether to train it. The first ``first_n`` - 1 messages are all trained. A fold is one task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, out, decide = Counts(o), [], DECISIONS[decision]
+        for i, r in enumerate(pdf.sort_values("seq").itertuples(index=False), 1):
+            s = m.score(r.tokens)
+            as_spam = bool(r.is_spam) if i < first_n else decide(s, bool(r.is_spam), o)
+            if as_spam is not None:
+                m.train(r.tokens, as_spam)
+            out.append((r.fold, r.msg_id, s, 0 if as_spam is None else -1 if as_spam else 1))
+        return pd.DataFrame(out, columns=["fold", "msg_id", "score", "trained"])
+
+    return messages.groupBy("fold").applyInPandas(run, "fold long, msg_id long, score double, trained int")
+
+
+def train_on_filter(model: Model, messages: DataFrame, probs: DataFrame, o: EngineOptions = DEFAULT) -> tuple[DataFrame, Model]:
+    """Scored messages (msg_id, score, category, trained) of (msg_id, tokens, trained), and the model that has learned its own guesses.
+
+    What a message was trained as before (ham, spam or null) is unlearned first; an unsure message is trained as ham.
+    """
+    from tokensieve.operators.score import score_messages
+
+    known = messages.where("trained IS NOT NULL").select("msg_id", (F.col("trained") == "spam").alias("is_spam"), "tokens")
+    scored = score_messages(messages.select("msg_id", "tokens"), probs, o).select("msg_id", "score")
+    scored = scored.withColumn("category", category(F.col("score"), "filter", o)).withColumn("trained", F.when(F.col("category") == "spam", "spam").otherwise("ham"))
+    guessed = messages.select("msg_id", "tokens").join(scored, "msg_id").select("msg_id", (F.col("trained") == "spam").alias("is_spam"), "tokens")
+    return scored, combine(combine(model, learn(known), -1), learn(guessed))
+
+
+def cull(messages: DataFrame, trained: DataFrame, key: str) -> DataFrame:
+    """The messages whose key was trained."""
+    return messages.join(trained.select(key).distinct(), key, "left_semi")
+
+
+def size_limited(score: Column, size: Column, limit: int) -> Column:
+    """The score, or 0 for a message that is not below the limit."""
+    return F.when(size < limit, score).otherwise(F.lit(0.0))
+
+
 def replay(messages: DataFrame, regime: str, o: EngineOptions = DEFAULT) -> DataFrame:
     """fold, msg_id, score, guess, trained for messages (fold, seq, grp, msg_id, is_spam, tokens) replayed in order of seq in each fold.
 
     Each message is scored by what was trained before it. ``corrected`` trains on its own guesses and puts the wrong ones right when the
-    group changes. The order is strict, so a fold is one task; folds run side by side.
+    group changes; ``balanced_corrected`` does not train a guess of the class of which RATIO times as many have been trained. The order is strict, so a fold is one task; folds run side by side.
     """
     decide = REGIMES[regime]
 
@@ -113,9 +171,15 @@ def replay(messages: DataFrame, regime: str, o: EngineOptions = DEFAULT) -> Data
             guess = 1 if s < o.ham_cutoff else -1 if s >= o.spam_cutoff else 0
             actual = -1 if r.is_spam else 1
             as_ = decide(guess, actual, s)
+            skip = False
+            if regime == "balanced_corrected" and guess and all(m.n):
+                ratio = m.n[0] / m.n[1]
+                skip = (ratio > RATIO and guess == 1) or (ratio < 1 / RATIO and guess == -1)
+            if skip:
+                as_ = 0
             if as_:
                 m.train(r.tokens, as_ < 0)
-            if regime == "corrected" and guess != actual:
+            if regime in ("corrected", "balanced_corrected") and guess != actual and not skip:
                 wrong.append((r.tokens, guess, actual))
             out.append((r.fold, r.msg_id, s, guess, as_))
         return pd.DataFrame(out, columns=["fold", "msg_id", "score", "guess", "trained"])

@@ -19,8 +19,12 @@ def clues(tokens: DataFrame, probs: DataFrame, o: EngineOptions = DEFAULT, by: l
     """
     by = by or ["msg_id"]
     on = ["token", *[c for c in by if c in probs.columns]]
-    rows = tokens.join(probs.select(*on, "prob"), on, "left").withColumn("prob", F.coalesce("prob", F.lit(o.unknown_word_prob)))
-    rows = rows.withColumn("dist", F.abs(F.col("prob") - 0.5)).where(F.col("dist") >= o.minimum_prob_strength)
+    dist = F.abs(F.col("prob") - 0.5)
+    if abs(o.unknown_word_prob - 0.5) < o.minimum_prob_strength:  # unknown tokens are no clues: only strong ones take part in the join
+        rows = tokens.join(probs.select(*on, "prob", dist.alias("dist")).where(F.col("dist") >= o.minimum_prob_strength), on)
+    else:
+        rows = tokens.join(probs.select(*on, "prob"), on, "left").withColumn("prob", F.coalesce("prob", F.lit(o.unknown_word_prob)))
+        rows = rows.withColumn("dist", dist).where(F.col("dist") >= o.minimum_prob_strength)
     w = Window.partitionBy(*by).orderBy(F.desc("dist"), F.desc("prob"), F.desc("token"))
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= o.max_discriminators)
 

@@ -10,6 +10,7 @@ from tokensieve.operators import evaluate as E
 from tokensieve.operators import model as M
 from tokensieve.operators import stats as ST
 from tokensieve.plans.base import CV, FOLD_MODELS, LABELLED, TOK, labelled, prob_sql, read, score_sql
+from tokensieve.plans.model_queries import _score_all as _SCORE_ALL
 from tokensieve.plans.text_queries import clean_sql
 
 
@@ -135,9 +136,7 @@ def mksets(s, d):
 
 
 def equal_partitions(s, d):
-    from pyspark.sql import Window
-
-    return _docs(s, d).select("doc_id", F.ntile(10).over(Window.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")))).alias("part"))
+    return C.equal_parts(_docs(s, d).select("doc_id"), "doc_id", 10)
 
 
 def expire(s, d):
@@ -213,10 +212,6 @@ def interleave(s, d):
     return C.interleave(labelled(s, d).select("msg_id", "is_spam"), "msg_id").select("msg_id", "is_spam", "pos")
 
 
-def mailbox_counts(s, d):
-    return read(s, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.contains("text", F.lit("@")).cast("long")).alias("with_at"))
-
-
 def _info(s, d):
     x = cv_subtract(s, d).join(read(s, d, "labels").select(F.col("doc_id").alias("msg_id"), "quality"), "msg_id")
     c = F.when(F.col("score") < 0.2, "h").when(F.col("score") >= 0.9, "s").otherwise("u")
@@ -235,37 +230,52 @@ def stats_report(s, d):
     return ST.report(ST.derived(ST.lifetime(_info(s, d))))
 
 
-def stream_scores(s, d):
-    """Labelled documents arrive as a stream and are scored by a model snapshot; the sink is a folder of Parquet."""
+def _stream(s, d, table):
+    """(stream, out): a table's files as a stream, and a fresh folder for what comes of it, shared by driver and executors."""
+    import os
     import tempfile
+    import uuid
 
-    from tokensieve.operators.score import score_messages
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp()
+    src = f"{d}/{table}.parquet"
+    local = src if os.path.isdir(src) or "://" in src else d
+    stream = s.readStream.schema(s.read.parquet(src).schema).option("pathGlobFilter", "*.parquet" if local != d else f"{table}.parquet").parquet(local)
+    return stream, f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-    probs = M.token_probability(M.learn(labelled(s, d)))
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    import uuid
 
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    docs = _docs(s, d)
-    import os
+def _run_stream(writer, out):
+    q = writer.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
 
-    src = f"{d}/documents.parquet"
-    local = src if os.path.isdir(src) or "://" in src else d
-    stream = s.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet" if local != d else "documents.parquet").parquet(local)
+
+def stream_scores(s, d):
+    """Documents arrive as a stream and are scored by a model snapshot; the sink is a folder of Parquet."""
+    from tokensieve.streaming.online import score_batch
+
+    probs = M.token_probability(M.learn(labelled(s, d)))
+    stream, out = _stream(s, d, "documents")
 
     def each(batch, epoch):
-        m = batch.select(F.col("doc_id").alias("msg_id"), body_tokens(F.col("text")).alias("tokens"))
-        score_messages(m, probs).select("msg_id", F.round("score", 6).alias("score")).write.mode("overwrite").parquet(f"{out}/{epoch}")
+        scored = score_batch(batch.select(F.col("doc_id").alias("msg_id"), "text"), probs)
+        scored.select("msg_id", F.round("score", 6).alias("score")).write.mode("overwrite").parquet(f"{out}/{epoch}")
 
-    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    _run_stream(stream.writeStream.foreachBatch(each), out)
     return s.read.parquet(f"{out}/*")
 
 
 def stream_daily(s, d):
-    """The watermarked daily counts of events, run as a batch over the same plan."""
-    e = read(s, d, "events")
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "event_type", "n")
+    """The watermarked daily counts of a stream of events; each batch brings the counts of all windows up to date."""
+    from tokensieve.streaming.online import daily_volumes as counts
+
+    stream, out = _stream(s, d, "events")
+    rows = counts(stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category")))
+    flat = rows.select(F.to_date("window.start").alias("day"), F.col("category").alias("event_type"), "n")
+    _run_stream(flat.writeStream.outputMode("complete").foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(out)), out)
+    return s.read.parquet(out)
 
 
 _CV = f"WITH {CV}"
@@ -342,6 +352,19 @@ _DER = (
 )
 _DAY = "daily AS (SELECT ts::DATE AS day, sum((event_type <> 'error')::INT)::BIGINT AS good, count(*) AS n FROM events GROUP BY 1)"
 
+_REBALANCE = (
+    "WITH a AS (SELECT doc_id, length(source) % 3 AS s, row_number() OVER (PARTITION BY length(source) % 3 ORDER BY md5('0:' || doc_id)) AS r FROM documents), "
+    "spare AS (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id)) AS n FROM a WHERE s = 0 OR r > 120), "
+    "need AS (SELECT s, greatest(120 - count(*), 0) AS need FROM a WHERE s <> 0 GROUP BY s), upto AS (SELECT s, need, sum(need) OVER (ORDER BY s) AS b FROM need) "
+    "SELECT doc_id, s::INT AS set_no FROM a WHERE s <> 0 AND r <= 120 UNION ALL SELECT doc_id, coalesce((SELECT min(s) FROM upto WHERE n > b - need AND n <= b), 0)::INT FROM spare"
+)
+_LINES_SQL = ", ".join(
+    [
+        "'Messages classified: ' || num_seen", *[f"'{t}: ' || num_{c} || ' (' || printf('%.1f', perc_{c}) || '%)'" for t, c in (("Ham", "ham"), ("Spam", "spam"), ("Unsure", "unsure"))],
+        "'False positives: ' || num_trained_ham_fp", "'False negatives: ' || num_trained_spam_fn", "'Total cost: $' || printf('%.2f', total_cost)",
+    ]
+)
+
 QUERIES = {
     "cv_subtract": (cv_subtract, f"{_CV} SELECT * FROM cv"),
     "cv_scratch": (cv_scratch, f"{_CV} SELECT * FROM cv"),
@@ -370,7 +393,7 @@ QUERIES = {
     "checksum_lru": (checksum_lru, f"WITH {_CK}, k AS (SELECT sub, max(doc_id) AS seen FROM subs GROUP BY sub) SELECT * FROM k ORDER BY seen DESC, sub DESC LIMIT 16364"),
     "sort_and_group": (sort_and_group, "SELECT floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 86400000000)::BIGINT AS grp, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1"),
     "mksets": (mksets, "WITH r AS (SELECT doc_id, doc_id // 50 AS grp, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS k, dense_rank() OVER (ORDER BY doc_id // 50) AS g FROM documents) SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 5 + 1)::INT AS set_no FROM r WHERE g <= 12 AND k <= 20 UNION ALL SELECT doc_id, 0 FROM r WHERE NOT (g <= 12 AND k <= 20)"),
-    "equal_partitions": (equal_partitions, "SELECT doc_id, ntile(10) OVER (ORDER BY md5(doc_id::VARCHAR)) AS part FROM documents"),
+    "equal_partitions": (equal_partitions, "SELECT doc_id, ntile(10) OVER (ORDER BY md5('0:' || doc_id)) AS part FROM documents"),
     "expire": (expire, "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY"),
     "snapshot_diff": (snapshot_diff, "WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < '1997-01-01'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= '1997-01-01') SELECT o_custkey, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT o_custkey, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"),
     "identical_copies": (identical_copies, "SELECT doc_id, text IN (SELECT text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE toxic = 1) AS is_spam FROM documents"),
@@ -380,15 +403,14 @@ QUERIES = {
     "daily_volumes": (daily_volumes, "SELECT (DATE '2024-02-01' - ts::DATE) // 2 AS slot, event_type, count(*) AS n FROM events WHERE DATE '2024-02-01' - ts::DATE < 120 GROUP BY 1, 2"),
     "success_curve": (success_curve, f"WITH {_DAY} SELECT day, (sum(good) OVER w)::BIGINT AS right_so_far, (sum(n) OVER w)::BIGINT AS total_so_far, round((sum(good) OVER w) / (sum(n) OVER w)::DOUBLE, 6) AS ratio FROM daily WINDOW w AS (ORDER BY day)"),
     "span_average": (span_average, f"WITH {_DAY} SELECT day, round((sum(good) OVER w) / (sum(n) OVER w)::DOUBLE, 6) AS rate FROM daily WINDOW w AS (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"),
-    "split_sets": (split_sets, None),
-    "split_percent": (split_percent, None),
-    "sample_keep": (sample_keep, None),
-    "rebalance": (rebalance, None),
+    "split_sets": (split_sets, "SELECT (('0x' || substr(md5('1:' || doc_id), 1, 15))::BIGINT % 10)::INT AS part, count(*) AS n FROM documents GROUP BY 1"),
+    "split_percent": (split_percent, "SELECT CASE WHEN (('0x' || substr(md5('1:' || doc_id), 1, 15))::BIGINT % 1000000) / 10000.0::DOUBLE < 30 THEN 1 ELSE 2 END AS part, count(*) AS n FROM documents GROUP BY 1"),
+    "sample_keep": (sample_keep, "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id)) AS r FROM documents) WHERE r <= 5"),
+    "rebalance": (rebalance, _REBALANCE),
     "interleave": (interleave, f"WITH {LABELLED}, a AS (SELECT msg_id, is_spam, (row_number() OVER (PARTITION BY is_spam ORDER BY msg_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY is_spam) AS place FROM msgs) SELECT msg_id, is_spam, row_number() OVER (ORDER BY place, is_spam, msg_id) AS pos FROM a"),
-    "mailbox_counts": (mailbox_counts, "SELECT role, count(*) AS n, sum(contains(text, '@')::INT)::BIGINT AS with_at FROM conversations GROUP BY role"),
     "lifetime_stats": (lifetime_stats, f"{_INFO} SELECT * FROM life"),
     "derived_stats": (derived_stats, _DER),
-    "stats_report": (stats_report, None),
-    "stream_scores": (stream_scores, None),
+    "stats_report": (stats_report, f"WITH der AS ({_DER}) SELECT line_no, line FROM (SELECT unnest(l) AS line, generate_subscripts(l, 1)::INT - 1 AS line_no FROM (SELECT [{_LINES_SQL}] AS l FROM der))"),
+    "stream_scores": (stream_scores, f"WITH {_SCORE_ALL} SELECT msg_id, round(score, 6) AS score FROM scored"),
     "stream_daily": (stream_daily, "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokensieve.functions.combine import chi2q, norm_p
-from tokensieve.functions.text import base_url, body_tokens, words
+from tokensieve.functions.text import body_tokens, words
 from tokensieve.operators import model as M
 from tokensieve.operators import policy as P
 from tokensieve.operators import score as S
@@ -70,7 +70,7 @@ def top_pure_words(s, d):
 
 
 def inverted_index(s, d):
-    return M.inverted_index(labelled(s, d)).select("token", "is_spam", "n_msgs", F.md5(F.array_join(F.col("msg_ids").cast("array<string>"), ",").cast("binary")).alias("ids"))
+    return M.inverted_index(labelled(s, d), 256).select("token", "is_spam", "block", "n_msgs", F.md5(F.array_join(F.col("msg_ids").cast("array<string>"), ",").cast("binary")).alias("ids"))
 
 
 def feature_messages(s, d):
@@ -151,19 +151,6 @@ def what_if_train(s, d):
     return out.groupBy("cand").agg(F.round(F.avg("score"), 5).alias("mean"), F.sum((F.round("score", 6) >= 0.9).cast("long")).alias("new_spams"))
 
 
-def slurp_rescore(s, d):
-    """Messages without a clear score adopt the score of their words and those of their page, if that is clear."""
-    probs = _probs(s, d)
-    m = messages(s, d)
-    pages = read(s, d, "pages").select(F.col("page_id").alias("msg_id"), F.array(F.concat(F.lit("url:"), base_url(F.regexp_replace("url", "^[a-z]+://", "")))).alias("more"))
-    first = S.score_messages(m, probs).select("msg_id", "n_clues", F.round("score", 6).alias("first"))
-    second = S.score_messages(m.join(pages, "msg_id").select("msg_id", F.concat("tokens", "more").alias("tokens")), probs).select("msg_id", F.round("score", 6).alias("second"))
-    both = first.join(second, "msg_id", "left")
-    unsure = F.col("first").between(0.2, 0.9) & (F.col("n_clues") < 150)
-    clear = (F.col("second") < 0.2) | (F.col("second") > 0.9)
-    return both.select("msg_id", F.when(unsure & F.coalesce(clear, F.lit(False)), F.col("second")).otherwise(F.col("first")).alias("score"))
-
-
 def chi2_table(s, d):
     x = s.range(1, 61).select(F.col("id").alias("n"), F.explode(F.array(*[F.lit(float(v)) for v in (0.5, 2.0, 10.0, 40.0)])).alias("half"))
     return x.select("n", "half", R(chi2q(F.col("half"), F.col("n"))).alias("q"))
@@ -243,12 +230,9 @@ _what = (
     f"{score_sql('pairs', 'xp', '(SELECT cand, msg_id FROM tests, cands)', 'cand, msg_id', 'cand, msg_id, token')} "
     "SELECT cand, round(avg(score), 5) AS mean, sum((round(score, 6) >= 0.9)::INT)::BIGINT AS new_spams FROM scored GROUP BY cand"
 )
-_base = "(SELECT page_id AS msg_id, 'url:' || CASE WHEN len(p) <= 2 THEN domain WHEN length(p[-1]) < 3 THEN p[-3] || '.' || p[-2] || '.' || p[-1] ELSE p[-2] || '.' || p[-1] END AS token FROM (SELECT page_id, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS domain, string_split(split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1), '.') AS p FROM pages))"
-_slurp = (
-    f"WITH {_rs}, more AS (SELECT d.msg_id, d.token FROM dtok d JOIN {_base} b ON d.msg_id = b.msg_id UNION SELECT b.msg_id, b.token FROM {_base} b JOIN documents x ON x.doc_id = b.msg_id), "
-    f"sec AS (SELECT msg_id, round(score, 6) AS second FROM (WITH {score_sql('more', 'probs', '(SELECT page_id AS msg_id FROM pages JOIN documents ON page_id = doc_id)')} SELECT * FROM scored)) "
-    "SELECT rs.msg_id, CASE WHEN score BETWEEN 0.2 AND 0.9 AND n_clues < 150 AND (second < 0.2 OR second > 0.9) THEN second ELSE score END AS score FROM rs LEFT JOIN sec USING (msg_id)"
-)
+
+#: The normal distribution by its series, which converges well within the table.
+_NORMAL = "SELECT i, round(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60), lambda k: z * pow(z * z, k) / list_product(list_transform(range(0, k + 1), lambda j: (2 * j + 1)::DOUBLE)))), 6) AS p FROM (SELECT i, i / 10.0::DOUBLE AS z FROM range(-40, 41) t(i))"
 
 QUERIES = {
     "learn_counts": (learn_counts, f"WITH {MODEL} SELECT * FROM wordinfo"),
@@ -262,7 +246,7 @@ QUERIES = {
     "word_query_regex": (word_query_regex, f"WITH {PROBS}, m AS (SELECT token, spamcount, hamcount, round(prob, 6) AS prob FROM probs WHERE regexp_matches(token, '^skip:[a-f]')) SELECT *, (SELECT count(*) FROM m) AS n_all FROM (SELECT * FROM m ORDER BY token LIMIT 10)"),
     "token_counts": (token_counts, f"WITH {PROBS} SELECT token, spamcount, hamcount, round(((1.0 - {chi2q_sql('-ln(1.0 - prob)', '1')}) - (1.0 - {chi2q_sql('-ln(prob)', '1')}) + 1.0) / 2.0, 6) AS spamprob FROM probs WHERE contains(token, 'tion')"),
     "top_pure_words": (top_pure_words, f"WITH {MODEL} (SELECT * FROM wordinfo WHERE hamcount = 0 AND NOT contains(token, ':') ORDER BY spamcount DESC, token LIMIT 20) UNION ALL (SELECT * FROM wordinfo WHERE spamcount = 0 AND NOT contains(token, ':') ORDER BY hamcount DESC, token LIMIT 20)"),
-    "inverted_index": (inverted_index, f"WITH {LABELLED}, {TOK} SELECT token, is_spam, count(*) AS n_msgs, md5(string_agg(msg_id::VARCHAR, ',' ORDER BY msg_id)) AS ids FROM tok GROUP BY token, is_spam"),
+    "inverted_index": (inverted_index, f"WITH {LABELLED}, {TOK} SELECT token, is_spam, msg_id // 256 AS block, count(*) AS n_msgs, md5(string_agg(msg_id::VARCHAR, ',' ORDER BY msg_id)) AS ids FROM tok GROUP BY token, is_spam, msg_id // 256"),
     "feature_messages": (feature_messages, f"WITH {LABELLED}, {TOK} SELECT msg_id, source FROM msgs WHERE msg_id IN (SELECT msg_id FROM tok WHERE token IN ('idiot', 'clown', 'moron'))"),
     "score_documents": (score_documents, f"WITH {_rs} SELECT *, {_cat('<', '>=')} AS category FROM rs"),
     "top_clues": (top_clues, f"WITH {_clue} SELECT msg_id, rank, token, round(prob, 6) AS prob FROM clue WHERE rank <= 10"),
@@ -273,9 +257,8 @@ QUERIES = {
     "categorize_inclusive": (categorize_inclusive, f"WITH {_rs} SELECT msg_id, {_cat('<=', '>=')} AS category FROM rs"),
     "nway_language": (nway_language, _nway()),
     "what_if_train": (what_if_train, _what),
-    "slurp_rescore": (slurp_rescore, _slurp),
     "chi2_table": (chi2_table, f"SELECT n, half, round({chi2q_sql('half', 'n')}, 6) AS q FROM range(1, 61) t(n), (SELECT unnest([0.5, 2.0, 10.0, 40.0])::DOUBLE AS half)"),
-    "normal_table": (normal_table, None),
+    "normal_table": (normal_table, _NORMAL),
     "regime_perfect": (regime_query("perfect"), None),
     "regime_corrected": (regime_query("corrected"), None),
     "regime_fpfnunsure": (regime_query("fpfnunsure"), None),

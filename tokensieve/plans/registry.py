@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tokensieve.plans import eval_queries, model_queries, text_queries
+from tokensieve.plans import eval_queries, message_queries, model_queries, text_queries
 
-ALL = {**text_queries.QUERIES, **model_queries.QUERIES, **eval_queries.QUERIES}
+ALL = {**text_queries.QUERIES, **model_queries.QUERIES, **eval_queries.QUERIES, **message_queries.QUERIES}
 
 
 def queries() -> dict:

@@ -104,15 +104,6 @@ def message_id_token(s, d):
     return c.select("c_custkey", T.message_id_token(h).alias("token"))
 
 
-def header_counts(s, d):
-    return read(s, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n")).select("l_orderkey", F.concat(F.lit("header:"), "l_returnflag", F.lit(":"), F.col("n").cast("string")).alias("token"))
-
-
-def image_sizes(s, d):
-    g = read(s, d, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1).alias("host")).agg(F.sum(F.octet_length("html")).alias("bytes"))
-    return g.select("host", F.concat(F.lit("image-size:2**"), F.bround(F.log2(F.col("bytes").cast("double"))).cast("long").cast("string")).alias("token"))
-
-
 def dotted_quads(s, d):
     c = read(s, d, "customer")
     k = F.col("c_custkey")
@@ -154,7 +145,7 @@ def _e(table, key, arr, frm=None):
 _words = f"list_filter(string_split_regex(lower(text), '{WS}'), lambda w: length(w) BETWEEN 3 AND 12)"
 _strip = (
     r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(html), '(?s)<\s*style\b[^>]*>.*?</style>', '', 'g'), "
-    r"'(?s)<!--.*?-->|<\s*comment\s*>.*?</comment>', '', 'g'), '(?s)<\s*noframes\s*>.*?</noframes\s*>', '', 'g'), '(?i)&nbsp;|<\s*(?:p|br)\s*/?>', ' ', 'g'), '<[^\s<>][^>]{0,255}>', '', 'g')"
+    r"'(?s)<!--.*?-->|<\s*comment\s*>.*?</comment>', '', 'g'), '(?s)<\s*noframes\s*>.*?</noframes\s*>', '', 'g'), '&nbsp;|<(?:p|br)>', ' ', 'g'), '<[^\s<>][^>]{0,255}>', '', 'g')"
 )
 _URLSEP = r"[;?:@&=+,$.]"
 _chunks = lambda x: f"list_transform(flatten(list_transform(string_split(regexp_replace({x}, '[.:?!/]+$', ''), '/'), lambda p: string_split_regex(p, '{_URLSEP}'))), lambda c: 'url:' || c)"
@@ -165,7 +156,7 @@ _clean = (
 
 def clean_sql(x: str) -> str:
     t = _clean.replace("{x}", x)
-    return f"array_to_string(list_filter(string_split({t}, ' '), lambda w: NOT (contains(w, '@') OR starts_with(w, 'ftp:') OR starts_with(w, 'mailto:') OR starts_with(w, 'http:') OR starts_with(w, 'https:') OR starts_with(w, 'pmguid:'))), ' ')"
+    return f"array_to_string(list_filter(string_split({t}, ' '), lambda w: NOT (contains(w, '@') OR starts_with(w, 'ftp:') OR starts_with(w, 'mailto:') OR starts_with(w, 'http:') OR starts_with(w, 'gopher:') OR w = 'pmguid:')), ' ')"
 
 
 _name = "regexp_replace(url, '^[a-z]+://', '')"
@@ -188,8 +179,6 @@ QUERIES = {
     "x_mailer": (x_mailer, "SELECT p_partkey, 'x-mailer:' || lower(p_name || ' ' || p_brand || ' ' || p_type) AS token FROM part"),
     "received_tokens": (received_tokens, _e("customer", "c_custkey", "list_transform(['(helo ok)', 'com', 'example.com', 'nation' || c_nationkey || '.example.com', 'mx' || c_custkey || '.nation' || c_nationkey || '.example.com', (c_custkey % 256)::VARCHAR, (c_custkey % 256) || '.' || (c_custkey % 7), (c_custkey % 256) || '.' || (c_custkey % 7) || '.2', (c_custkey % 256) || '.' || (c_custkey % 7) || '.2.1'], lambda t: 'received:' || t)")),
     "message_id_token": (message_id_token, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'message-id:invalid' ELSE 'message-id:@' || lower(c_mktsegment) || '.example.org' END AS token FROM customer"),
-    "header_counts": (header_counts, "SELECT l_orderkey, 'header:' || l_returnflag || ':' || count(*) AS token FROM lineitem GROUP BY l_orderkey, l_returnflag"),
-    "image_sizes": (image_sizes, "SELECT host, 'image-size:2**' || round_even(log2(b), 0)::BIGINT::VARCHAR AS token FROM (SELECT regexp_extract(url, '^[a-z]+://([^/:]+)', 1) AS host, sum(octet_length(encode(html)))::DOUBLE AS b FROM pages GROUP BY 1)"),
     "dotted_quads": (dotted_quads, _e("customer", "c_custkey", "[(c_custkey % 251)::VARCHAR, (c_custkey % 251) || '.' || (c_custkey % 13), (c_custkey % 251) || '.' || (c_custkey % 13) || '.' || (c_custkey % 7), (c_custkey % 251) || '.' || (c_custkey % 13) || '.' || (c_custkey % 7) || '.' || (c_custkey % 199)]")),
     "bigram_stream": (bigram_stream, _e("documents", "doc_id", "list_concat(a[1:1], flatten(list_transform(range(2, len(a) + 1), lambda i: [a[i], 'bi:' || a[i - 1] || ' ' || a[i]])))", f"(SELECT doc_id, {_words} AS a FROM documents)")),
     "base_url": (base_url, f"SELECT page_id, CASE WHEN len(p) <= 2 THEN domain WHEN length(p[-1]) < 3 THEN p[-3] || '.' || p[-2] || '.' || p[-1] ELSE p[-2] || '.' || p[-1] END AS base FROM (SELECT page_id, split_part({_name}, '/', 1) AS domain, string_split(split_part({_name}, '/', 1), '.') AS p FROM pages)"),

@@ -12,7 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARSED = "msg_id string, headers array<struct<name:string,value:string>>, body string, parts array<struct<ctype:string,charset:string,disposition:string,filename:string,size:long>>, error string"
+NODE = "struct<ctype:string,kind:string,charsets:array<string>,disposition:string,filename:string,leaf:boolean,size:long,head:string>"
+PARSED = f"msg_id string, headers array<struct<name:string,value:string>>, body string, parts array<struct<ctype:string,charset:string,disposition:string,filename:string,size:long>>, error string, nodes array<{NODE}>, bodies array<string>, addresses array<string>, recipients array<string>"
+#: The headers whose addresses become tokens, and how much of a node's content is kept.
+ADDRESS_HEADERS = ["from", "to", "cc", "sender", "reply-to"]
+HEAD = 5
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -54,34 +58,48 @@ def clean_mbox(text):
     return F.regexp_replace(text, r"(?m)^From (?!\S+ +(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) )", ">From ")
 
 
+def _node(p) -> dict:
+    leaf = not p.is_multipart()
+    data = (p.get_payload(decode=True) or b"") if leaf else b""
+    kind, disposition = p.get_param("type"), p.get("content-disposition")
+    low = lambda x: None if x is None else str(x).lower()
+    return {"ctype": p.get_content_type(), "kind": low(kind), "charsets": [str(c).lower() for c in p.get_charsets(None) if c is not None], "disposition": low(disposition), "filename": p.get_filename(), "leaf": leaf, "size": len(data), "head": data[:HEAD].decode("latin-1")}
+
+
+def _parse(raw: bytes) -> tuple:
+    """The columns of parse but for msg_id."""
+    text = raw.decode("latin-1")
+    try:
+        m = email.message_from_bytes(raw, policy=email.policy.compat32)
+        heads = [{"name": k, "value": str(v)} for k, v in m.items()]
+        if not heads:
+            return [], text, [], None, [], [text], [], []
+        parts, bodies = [], []
+        for p in m.walk():
+            if p.is_multipart():
+                continue
+            data = p.get_payload(decode=True) or b""
+            parts.append({"ctype": p.get_content_type(), "charset": p.get_content_charset(), "disposition": p.get_content_disposition(), "filename": p.get_filename(), "size": len(data)})
+            if p.get_content_maintype() == "text":
+                bodies.append(data.decode("latin-1"))
+        found = [t for f in ADDRESS_HEADERS for t in address_parts(f, [str(v) for v in m.get_all(f, [])])]
+        to = [a.lower() for _, a in email.utils.getaddresses([str(v) for f in ("to", "cc") for v in m.get_all(f, [])])]
+        return heads, "\n".join(bodies), parts, None, [_node(p) for p in m.walk()], bodies, found, to
+    except Exception as e:  # the parser may fail in many ways on hostile mail: what follows the headers is its text
+        rest = re.split(r"\r?\n\r?\n", text, maxsplit=1)[-1]
+        return [], rest, [], f"{type(e).__name__}: {e}", [], [rest], [], []
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """Headers, decoded text body and part list of each raw message; text is decoded as Latin-1.
+    """Headers, decoded text parts, MIME nodes and address tokens of each raw message; text is decoded as Latin-1.
 
-    A message that cannot be parsed keeps its text as body, has no headers, and says why in ``error``.
+    A message that cannot be parsed keeps the text after its headers as body, has no headers, and says why in ``error``.
     """
 
-    def one(raw: bytes) -> tuple:
-        try:
-            m = email.message_from_bytes(raw, policy=email.policy.compat32)
-            heads = [{"name": k, "value": str(v)} for k, v in m.items()]
-            if not heads:
-                return [], raw.decode("latin-1"), [], None
-            body, parts = [], []
-            for p in m.walk():
-                if p.is_multipart():
-                    continue
-                data = p.get_payload(decode=True) or b""
-                parts.append({"ctype": p.get_content_type(), "charset": p.get_content_charset(), "disposition": p.get_content_disposition(), "filename": p.get_filename(), "size": len(data)})
-                if p.get_content_maintype() == "text":
-                    body.append(data.decode("latin-1"))
-            return heads, "\n".join(body), parts, None
-        except Exception as e:  # the parser may fail in many ways on hostile mail
-            return [], raw.decode("latin-1"), [], f"{type(e).__name__}: {e}"
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(i, *one(bytes(r))) for i, r in zip(pdf["msg_id"], pdf["raw"], strict=True)]
-            yield pd.DataFrame(rows, columns=["msg_id", "headers", "body", "parts", "error"])
+            rows = [(i, *_parse(bytes(r))) for i, r in zip(pdf["msg_id"], pdf["raw"], strict=True)]
+            yield pd.DataFrame(rows, columns=["msg_id", "headers", "body", "parts", "error", "nodes", "bodies", "addresses", "recipients"])
 
     return messages.mapInPandas(run, PARSED)
 
@@ -91,26 +109,28 @@ def header(name: str):
     return F.get(F.filter("headers", lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
 
 
+def address_parts(field: str, values: list[str]) -> list[str]:
+    """Tokens of the values of an address header: names, addresses and the number of nameless ones."""
+    import math
+
+    if not any(values):
+        return [f"{field}:none"]
+    out, nameless = [], 0
+    for name, addr in email.utils.getaddresses(values):
+        if name:
+            out += [f"{field}:name:{w.lower()}" for w in name.split()]
+        else:
+            nameless += 1
+        out += [f"{field}:addr:{w}" for w in addr.lower().split("@")] if addr else [f"{field}:addr:none"]
+    return out + ([f"{field}:no real name:2**{round(math.log2(nameless))}"] if nameless else [])
+
+
 def address_tokens(rows: DataFrame, key: str, field: str, value: str) -> DataFrame:
-    """key, token: names, addresses and the number of nameless ones in an address header."""
-
-    def tokens(text: str | None) -> list[str]:
-        import math
-
-        if not text:
-            return [f"{field}:none"]
-        out, nameless = [], 0
-        for name, addr in email.utils.getaddresses([text]):
-            if name:
-                out += [f"{field}:name:{w.lower()}" for w in name.split()]
-            else:
-                nameless += 1
-            out += [f"{field}:addr:{w}" for w in addr.lower().split("@")] if addr else [f"{field}:addr:none"]
-        return out + ([f"{field}:no real name:2**{round(math.log2(nameless))}"] if nameless else [])
+    """key, token: the tokens of an address header."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame([(k, t) for k, v in zip(pdf["k"], pdf["v"], strict=True) for t in tokens(v)], columns=[key, "token"])
+            yield pd.DataFrame([(k, t) for k, v in zip(pdf["k"], pdf["v"], strict=True) for t in address_parts(field, [v] if v else [])], columns=[key, "token"])
 
     return rows.select(F.col(key).alias("k"), F.col(value).alias("v")).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, token string")
 

@@ -11,7 +11,7 @@ from tokensieve.operators.model import Model, combine
 
 
 class ModelStore:
-    """A folder of model versions; a version is whole before the pointer names it."""
+    """A folder of model versions. A version is whole before a pointer names it; pointers are numbered files that are never replaced, the newest counts."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -20,29 +20,86 @@ class ModelStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def save(self, model: Model) -> str:
-        """Write a new version and point to it."""
+    def _pointers(self) -> list[str]:
+        fs, p = self._fs(f"{self.path}/pointer")
+        return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("v")) if fs.exists(p) else []
+
+    def save(self, model: Model, epoch: int | None = None) -> str:
+        """Write a new version and point to it; epoch is the stream's batch that it holds, for which see epoch()."""
         name = uuid.uuid4().hex
         model.wordinfo.write.parquet(f"{self.path}/{name}/wordinfo")
         model.meta.write.parquet(f"{self.path}/{name}/meta")
-        fs, tmp = self._fs(f"{self.path}/_{name}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        _, current = self._fs(f"{self.path}/CURRENT")
-        fs.delete(current, False)
-        fs.rename(tmp, current)
+        last = self._pointers()
+        number = int(last[-1][1:13]) + 1 if last else 1
+        held = self.epoch() if epoch is None else epoch
+        fs, pointer = self._fs(f"{self.path}/pointer/v{number:012d}_{-1 if held is None else held}_{name}")
+        fs.create(pointer, False).close()  # the name says it all, so the pointer is whole at once
         return name
 
+    def epoch(self) -> int | None:
+        """The last batch of a stream that the newest version holds."""
+        last = self._pointers()
+        held = int(last[-1].split("_")[1]) if last else -1
+        return None if held < 0 else held
+
     def load(self) -> Model:
-        fs, current = self._fs(f"{self.path}/CURRENT")
-        stream = fs.open(current)
-        name = bytes(stream.readAllBytes()).decode()
-        stream.close()
+        last = self._pointers()
+        if not last:
+            raise FileNotFoundError(f"no model in {self.path}")
+        name = last[-1].split("_")[2]
         read = self.spark.read.parquet
         return Model(read(f"{self.path}/{name}/wordinfo"), read(f"{self.path}/{name}/meta"))
 
 
+class CsvStore:
+    """A model as one CSV export, by the same interface."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def save(self, model: Model, epoch: int | None = None) -> str:
+        export_csv(model, self.path)
+        return self.path
+
+    def load(self) -> Model:
+        return import_csv(self.spark, self.path)
+
+
+STORES = {"parquet": ModelStore, "csv": CsvStore}
+
+
+def open_store(spark: SparkSession, uri: str):
+    """The store that a URI names: parquet:path or csv:path; a path alone is Parquet."""
+    kind, _, path = uri.partition(":")
+    return STORES[kind](spark, path) if kind in STORES else ModelStore(spark, uri)
+
+
+def convert_store(source, target) -> None:
+    """Copy totals and all words from a store to another."""
+    target.save(source.load())
+
+
+def probability_table(model: Model, path: str) -> DataFrame:
+    """Write the token, prob table that scoring alone needs, and read it back."""
+    from tokensieve.operators.model import token_probability
+
+    token_probability(model).select("token", "prob").write.mode("overwrite").parquet(path)
+    return model.wordinfo.sparkSession.read.parquet(path)
+
+
+def write_corpus(messages: DataFrame, path: str) -> None:
+    """(msg_id, raw) as a corpus of gzip-compressed rows."""
+    messages.select("msg_id", "raw").write.mode("overwrite").option("compression", "gzip").parquet(path)
+
+
+def read_corpus(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """The messages of a corpus whose ids match a file-name pattern (* and ?)."""
+    import re
+
+    body = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
+    return spark.read.parquet(path).where(F.col("msg_id").rlike(f"(?s)^{body}$"))
+
+
 def export_csv(model: Model, path: str) -> None:
     """One row of totals (ham, spam), then token, ham, spam; the totals' row has no token."""
     rows = model.meta.select(F.lit(None).cast("string").alias("token"), F.col("nham").alias("ham"), F.col("nspam").alias("spam"))

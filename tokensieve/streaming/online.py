@@ -34,21 +34,28 @@ def score_stream(stream: DataFrame, store: ModelStore, sink: Callable[[DataFrame
 def learn_stream(stream: DataFrame, store: ModelStore, checkpoint: str):
     """Fold labelled events (msg_id, text, is_spam, sign) into the store; sign -1 unlearns.
 
-    A micro-batch is one version. A batch that is run again after a failure is told by its number and left out.
+    A micro-batch is one version, which names the batch. One that is run again after a failure or a restart is told by its number in the
+    store and left out, as long as the store is written by one stream.
     """
-    done: set[int] = set()
 
     def each(batch: DataFrame, epoch: int) -> None:
-        if epoch in done or batch.isEmpty():
+        held = store.epoch()
+        if held is not None and epoch <= held:
             return
         rows = batch.select("msg_id", "is_spam", "sign", body_tokens(F.col("text")).alias("tokens"))
         model = combine(store.load(), learn(rows.where("sign > 0")))
-        store.save(combine(model, learn(rows.where("sign < 0")), -1))
-        done.add(epoch)
+        store.save(combine(model, learn(rows.where("sign < 0")), -1), epoch)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
+def by_address(messages: DataFrame, recipient: str, ham_address: str, spam_address: str) -> DataFrame:
+    """Labelled events of the messages (msg_id, text) sent to the training addresses; others are no events."""
+    to = F.lower(F.col(recipient))
+    rows = messages.where(to.isin(ham_address.lower(), spam_address.lower()))
+    return rows.select("msg_id", "text", (to == spam_address.lower()).alias("is_spam"), F.lit(1).alias("sign"))
+
+
 def daily_volumes(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Windowed counts per day and category of (ts, category), final once ``delay`` has passed."""
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "category").agg(F.count("*").alias("n"))
