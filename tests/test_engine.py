@@ -360,3 +360,32 @@ def test_learning_counts_a_batch_once(spark, tmp_path):
     assert skipped == []
     sent = spark.createDataFrame([("1", "x", "Spam@here"), ("2", "y", "ham@here"), ("3", "z", "me@here")], "msg_id string, text string, rcpt string")
     assert {r.msg_id: r.is_spam for r in online.by_address(sent, "rcpt", "ham@here", "spam@here").collect()} == {"1": True, "2": False}
+
+
+def test_mailbox_kinds(spark, tmp_path):
+    for folder, name in (("md/cur", "1-2,S"), ("Mail/inbox", "7"), ("tree/sub", "a.txt"), ("tree/sub", "b.emlx")):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / name).write_bytes(b"4\nA: bTRAIL" if name.endswith("emlx") else b"A: b")
+    (tmp_path / "box").write_bytes(b"From a Mon Jan 1\nA: b\n")
+    for path, kind, n in (("md", "maildir", 1), ("Mail/inbox", "mh", 1), ("tree", "files", 2), ("box", "mbox", 1)):
+        assert mail.kind_of(spark, str(tmp_path / path)) == kind
+        got = mail.read_messages(spark, str(tmp_path / path)).collect()
+        assert len(got) == n and all(bytes(r.raw).strip() == b"A: b" for r in got)
+
+
+def test_normal_quantile(spark):
+    from tokensieve.functions.combine import norm_ip, norm_p
+
+    r = spark.range(1).select(norm_ip(F.lit(0.975)).alias("z"), norm_p(norm_ip(F.lit(0.3))).alias("p")).first()
+    assert abs(r.z - 1.96) < 1e-3 and abs(r.p - 0.3) < 1e-4
+
+
+def test_tuning_never_costs_more(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(str(i), i % 3 == 0, i % 2, [rnd.choice("abcdxyz" if i % 3 == 0 else "abcdefg") for _ in range(4)]) for i in range(24)]
+    m = spark.createDataFrame(rows, "msg_id string, is_spam boolean, fold long, tokens array<string>")
+    at, cost = P.tune(m, {"unknown_word_strength": 0.45}, 0.2, 2)
+    first = E.total_cost(E.cross_validate(m), "flex", []).first()["cost"]
+    assert at["unknown_word_strength"] > 0 and cost <= first

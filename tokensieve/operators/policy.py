@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -53,8 +54,6 @@ class Counts:
             c[spam] = max(0, c[spam] + sign)
 
     def score(self, tokens) -> float:
-        import math
-
         o, nham, nspam = self.o, max(1, self.n[0]), max(1, self.n[1])
         found = []
         for t in set(tokens):
@@ -235,3 +234,22 @@ def maximize(f: Callable[[list[float]], float], start: list[float], step: list[f
                 points = [best] + [(f(q), q) for q in ([(a + b) / 2 for a, b in zip(p[1], best[1], strict=True)] for p in points[1:])]
     top = max(points)
     return top[1], top[0]
+
+
+def tune(messages: DataFrame, start: dict[str, float], step: float = 0.01, rounds: int = 60, kind: str = "flex", o: EngineOptions = DEFAULT) -> tuple[dict[str, float], float]:
+    """The options (named in ``start``) at which cross-validation of messages costs least, by a simplex search, and that cost. Each trial is a Spark job."""
+    from dataclasses import replace
+
+    from tokensieve.operators.evaluate import cross_validate, total_cost
+
+    names = list(start)
+
+    def gain(values: list[float]) -> float:
+        try:
+            trial = replace(o, **dict(zip(names, values, strict=True)))
+        except ValueError:  # outside what the options allow
+            return -math.inf
+        return -(total_cost(cross_validate(messages, o=trial), kind, [], trial).first()["cost"] or 0.0)
+
+    best, value = maximize(gain, [start[n] for n in names], [step] * len(names), rounds)
+    return dict(zip(names, best, strict=True)), -value

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tokensieve.functions.combine import chi2q, norm_p
+from tokensieve.functions.combine import chi2q, norm_iq, norm_p, norm_z
 from tokensieve.functions.text import body_tokens, words
 from tokensieve.operators import model as M
 from tokensieve.operators import policy as P
@@ -161,6 +161,11 @@ def normal_table(s, d):
     return x.select("i", F.round(norm_p(F.col("z")), 6).alias("p"))
 
 
+def normal_quantiles(s, d):
+    x = s.range(0, 101).select(F.col("id").alias("i"), (F.col("id") / 100.0).alias("p"))
+    return x.select("i", F.round(norm_z(F.col("p") * 4), 6).alias("density"), F.round(norm_iq(F.col("p")), 6).alias("z"))
+
+
 def regime_query(name):
     def run(s, d):
         m = labelled(s, d)
@@ -259,6 +264,7 @@ QUERIES = {
     "what_if_train": (what_if_train, _what),
     "chi2_table": (chi2_table, f"SELECT n, half, round({chi2q_sql('half', 'n')}, 6) AS q FROM range(1, 61) t(n), (SELECT unnest([0.5, 2.0, 10.0, 40.0])::DOUBLE AS half)"),
     "normal_table": (normal_table, _NORMAL),
+    "normal_quantiles": (normal_quantiles, "SELECT i, round(exp(-8 * p * p) / sqrt(2 * pi()), 6) AS density, round(CASE WHEN p > 0.5 THEN -z ELSE z END, 6) AS z FROM (SELECT i, p, CASE WHEN q = 0 THEN 8.3 ELSE t - (2.30753 + 0.27061 * t) / (1.0 + 0.99229 * t + 0.04481 * t * t) END AS z FROM (SELECT i, p, q, CASE WHEN q > 0 THEN sqrt(-2 * ln(q)) END AS t FROM (SELECT i, i / 100.0::DOUBLE AS p, least(i, 100 - i) / 100.0::DOUBLE AS q FROM range(0, 101) t(i))))"),
     "regime_perfect": (regime_query("perfect"), None),
     "regime_corrected": (regime_query("corrected"), None),
     "regime_fpfnunsure": (regime_query("fpfnunsure"), None),

@@ -38,12 +38,29 @@ def split_mbox(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "msg_id string, raw binary")
 
 
-def read_messages(spark: SparkSession, path: str, kind: str = "files") -> DataFrame:
-    """(msg_id, raw) of a mailbox: kind is files, mbox, maildir or mh."""
+def kind_of(spark: SparkSession, path: str) -> str:
+    """What a path holds: a folder with cur is a Maildir, one below /Mail/ an MH folder, any other a tree of files; a file is an mbox."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(p).isDirectory():
+        return "mbox"
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "cur")):
+        return "maildir"
+    return "mh" if "/Mail/" in path else "files"
+
+
+def read_messages(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(msg_id, raw) of a mailbox: kind is files, mbox, maildir or mh, and found out from the path unless named. Of a tree, .emlx files are unwrapped."""
+    kind = kind or kind_of(spark, path)
     if kind == "mbox":
         return split_mbox(read_files(spark, path))
     rows = read_files(spark, path, "[0-9]*" if kind == "mh" else "*")
-    return rows.where(F.col("msg_id").rlike("/(cur|new)/")) if kind == "maildir" else rows
+    if kind == "maildir":
+        return rows.where(F.col("msg_id").rlike("/(cur|new)/"))
+    if kind == "mh":
+        return rows
+    wrapped = F.col("msg_id").endswith(".emlx")
+    return rows.where(~wrapped).unionByName(unwrap_emlx(rows.where(wrapped)))
 
 
 def unwrap_emlx(files: DataFrame) -> DataFrame:
