@@ -7,18 +7,21 @@ named by ``spark.checkpoint.dir``; nothing is kept in a machine-local folder on
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot when it holds more than 1/HOT_SHARES of all rows, so at most HOT_SHARES keys can be hot.
 HOT_SHARES = 512
+#: Rows of a small table that a task writes, and tasks that write it at least.
+TASK_ROWS, FEWEST = 20_000, 8
 
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
@@ -29,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
@@ -63,16 +68,28 @@ def _sweep() -> None:
             return
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back."""
+def materialize(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them back. They are counted on the way; see rows_in.
+
+    Where a bound on their number is known, no more tasks write them than TASK_ROWS rows each need, FEWEST at least.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    if at_most is not None:
+        df = df.coalesce(max(FEWEST, -(-at_most // TASK_ROWS)))
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
+    out._llm_rows = seen.get["n"]
     return out
 
 
+def rows_in(df: DataFrame) -> int:
+    """How many rows a materialized frame has."""
+    return df._llm_rows
+
+
 def release(*dfs: DataFrame) -> None:
     """Delete the files of materialized frames that no later result reads."""
     for df in dfs:
@@ -80,6 +97,15 @@ def release(*dfs: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Shuffle files go once the driver's references to them are collected, by default every half hour; ask for it now.
+
+    All that is read later has been written to the shared folder, so nothing needs them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches small whatever the length of the texts in them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -104,6 +130,18 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(out)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has such columns already, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -120,36 +158,40 @@ def join_hot(left: DataFrame, right: DataFrame, key: list[str], n: str, total: i
     shuffled join under a salted key that matches nothing, so no partition receives a hot group.
     """
     payload = [c for c in right.columns if c not in key]
+    salt, *held = fresh(left, "salt", *[f"hot_{c}" for c in payload])
     is_hot = F.col(n) * HOT_SHARES > F.lit(max(total, HOT_SHARES))
-    hot = right.where(is_hot).select(*key, *[F.col(c).alias(f"_hot_{c}") for c in payload])
-    cold = right.where(~is_hot).withColumn("_salt", F.lit(0))
+    hot = right.where(is_hot).select(*key, *[F.col(c).alias(h) for c, h in zip(payload, held, strict=True)])
+    cold = right.where(~is_hot).withColumn(salt, F.lit(0))
     out = left.join(F.broadcast(hot), key, "left")
-    salt = F.when(F.col(f"_hot_{n}").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(9973)).cast("int") + 1).otherwise(0)
-    out = out.withColumn("_salt", salt).join(cold, [*key, "_salt"], "left")
-    for c in payload:
-        out = out.withColumn(c, F.coalesce(F.col(f"_hot_{c}"), F.col(c))).drop(f"_hot_{c}")
-    return out.drop("_salt")
+    salted = F.when(F.col(held[payload.index(n)]).isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(9973)).cast("int") + 1).otherwise(0)
+    out = out.withColumn(salt, salted).join(cold, [*key, salt], "left")
+    for c, h in zip(payload, held, strict=True):
+        out = out.withColumn(c, F.coalesce(F.col(h), F.col(c))).drop(h)
+    return out.drop(salt)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b): component is the smallest node reachable.
 
     Labels fall to the smallest label among the neighbours and then jump along the label
-    itself, so the rounds grow with the logarithm of a component's width. Every round is written to the
-    shared folder. Both joins are between written tables, which lets skewed keys be split.
+    itself, so the rounds grow with the logarithm of a component's width. Every round is one write to the
+    shared folder. The joins are between written tables, which lets skewed keys be split.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    label = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
-    while True:
+    both = materialize(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").where("a <> b"), "edges")
+    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    label = materialize(label, "labels", rows_in(both))
+    while rows_in(label):
         near = both.join(label.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        low = materialize(label.join(near, label.node == near.a).select("node", F.least("component", "c").alias("component"), F.col("component").alias("was")), "labels")
-        jump = low.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = materialize(low.join(jump, "component", "left").select("node", F.least(F.col("component"), F.coalesce("next", "component")).alias("component"), "was"), "labels")
-        changed = new.where("component <> was").limit(1).count()
-        release(label, low)
+        low = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "c").alias("low"), F.col("component").alias("was"))
+        jump = label.select(F.col("node").alias("low"), F.col("component").alias("next"))
+        new = low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("next", "low")).alias("component"), "was")
+        changed = Observation()
+        new = materialize(new.observe(changed, F.count(F.when(F.col("component") != F.col("was"), 1)).alias("n")), "labels", rows_in(label))
+        release(label)
         label = new
-        if not changed:
-            release(both)
-            out = label.select("node", "component")
-            out._llm_path = label._llm_path
-            return out
+        if not changed.get["n"]:
+            break
+    release(both)
+    out = label.select("node", "component")
+    out._llm_path, out._llm_rows = label._llm_path, label._llm_rows
+    return out

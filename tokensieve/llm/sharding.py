@@ -2,8 +2,9 @@
 
 A store is a folder: ``data/`` has shards, Parquet files that never change, and ``manifest/`` one JSON file a version. An append
 writes its rows as small shards and commits a new version. Compaction puts the live shards into tiers by size; RUN or more of a tier are
-merged into files of the target size, and the next version names those in place of the old. A version is committed by creating its file,
-which fails if it exists; so of two writers one wins and the other starts over from the new version. Readers
+merged into files of the target size, and the next version names those in place of the old. A version is committed by whoever creates its
+claim, which fails if it exists, and then moves a whole manifest into place; the others start over from the new version. A claim is a
+lease: its holder gives up after half of it, and when it has run out without a manifest its writer was lost, and the next one takes the claim away. Readers
 see the shards of one version, whole. Shards that no version names any longer are deleted by ``vacuum``.
 """
 
@@ -11,14 +12,17 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokensieve.llm.common import hadoop, new_path
+from tokensieve.llm.common import fresh, hadoop, new_path
 
 TARGET, BASE, RUN = 64 << 20, 4, 4
+#: Seconds that a writer may hold a version it has claimed (clocks must agree within half of it), and how often a writer that lost starts over.
+LEASE, TRIES = 60.0, 200
 
 
 class Conflict(Exception):
@@ -28,8 +32,9 @@ class Conflict(Exception):
 class Store:
     """Shards and manifests below a folder of any store that Hadoop knows."""
 
-    def __init__(self, spark: SparkSession, path: str, target: int = TARGET, run: int = RUN):
-        self.spark, self.path, self.target, self.run = spark, path.rstrip("/"), target, run
+    def __init__(self, spark: SparkSession, path: str, target: int = TARGET, run: int = RUN, lease: float = LEASE):
+        self.spark, self.path, self.target, self.run, self.lease = spark, path.rstrip("/"), target, run, lease
+        self._first_schema: str | None = None
 
     def version(self) -> int:
         """The newest version; 0 for an empty store."""
@@ -58,16 +63,48 @@ class Store:
         out = fs.create(tmp, False)
         out.write(bytearray(json.dumps({"version": on + 1, "schema": schema, "shards": shards}).encode("utf-8")))
         out.close()
-        _, claim = hadoop(self.spark, f"{self.path}/manifest/_claim-{on + 1:010d}")
         try:
-            fs.create(claim, False).close()  # creation is atomic: one writer gets the number
-        except Exception as e:
+            began = self._claim(on + 1)
+            if time.time() - began > self.lease / 2 or self.version() != on or not fs.rename(tmp, final):
+                raise Conflict(f"version {on + 1} could not be put in place")
+        except Conflict:
             fs.delete(tmp, False)
-            raise Conflict(f"version {on + 1} is taken") from e
-        if not fs.rename(tmp, final):
-            raise Conflict(f"version {on + 1} could not be put in place")
+            raise
         return on + 1
 
+    def _claim(self, version: int) -> float:
+        """The time at which this writer claimed the version; raises Conflict if another one holds it."""
+        fs, claim = hadoop(self.spark, f"{self.path}/manifest/_claim-{version:010d}")
+        began = time.time()
+        try:
+            fs.create(claim, False).close()  # creation is atomic: one writer gets the number
+            return began
+        except Exception as e:
+            try:
+                age = time.time() - fs.getFileStatus(claim).getModificationTime() / 1000
+            except Exception:  # another writer has just taken it away
+                age = 0.0
+            if age > self.lease:  # its writer was lost; only one of those who see that can move the claim
+                _, gone = hadoop(self.spark, f"{self.path}/manifest/_lost-{version:010d}-{uuid.uuid4().hex}")
+                try:
+                    fs.rename(claim, gone)
+                except Exception:  # moved by another writer
+                    pass
+            raise Conflict(f"version {version} is taken") from e
+
+    def _insist(self, change) -> int | None:
+        """Commit what ``change`` makes of the newest manifest, again while other writers come first; None if it makes nothing."""
+        for turn in range(TRIES):
+            m = self.manifest()
+            shards = change(m)
+            if shards is None:
+                return None
+            try:
+                return self.commit(shards, m["schema"] or self._first_schema, m["version"])
+            except Conflict:
+                time.sleep(min(1.0, self.lease / 20) * min(1.0, 0.05 * (turn + 1)))
+        raise Conflict(f"gave up after {TRIES} tries")
+
     def tier(self, size: int) -> int:
         """0 for the smallest shards; each tier's are up to BASE times as large; files near the target are done."""
         done = math.ceil(math.log(max(self.target, 2) / (1 << 16), BASE)) + 1
@@ -84,12 +121,8 @@ class Store:
     def append(self, df: DataFrame) -> int:
         """Add the rows as small shards, one for each partition, in one version. An arrival without rows adds an empty shard at most."""
         new = self._write(df, "arrival")
-        while True:
-            m = self.manifest()
-            try:
-                return self.commit(m["shards"] + new, m["schema"] or df.schema.json(), m["version"])
-            except Conflict:
-                continue
+        self._first_schema = df.schema.json()
+        return self._insist(lambda m: m["shards"] + new)
 
     def plan(self, m: dict) -> list[list[dict]]:
         """Runs to merge: the shards of a tier, smallest tier first, if there are RUN of them."""
@@ -112,15 +145,8 @@ class Store:
             files = max(1, round(total / self.target))
             new = self._write(df.coalesce(files) if files <= df.rdd.getNumPartitions() else df.repartition(files), "merged")
             gone = {s["file"] for s in merged}
-            while True:
-                m = self.manifest()
-                if not gone <= {s["file"] for s in m["shards"]}:
-                    break  # another compaction took some of them; plan anew
-                try:
-                    self.commit([s for s in m["shards"] if s["file"] not in gone] + new, m["schema"], m["version"])
-                    break
-                except Conflict:
-                    continue
+            # if another compaction took some of them, the merge is in vain and a new plan is made
+            self._insist(lambda m, gone=gone, new=new: [s for s in m["shards"] if s["file"] not in gone] + new if gone <= {s["file"] for s in m["shards"]} else None)
 
     def _schema(self, m: dict):
         from pyspark.sql import types as T
@@ -128,12 +154,13 @@ class Store:
         return T.StructType.fromJson(json.loads(m["schema"]))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``_shard`` naming the file of each."""
+        """The rows of a version, with ``_shard`` naming the file of each; if the table has such a column, that of the file gets underscores added."""
         m = self.manifest(version)
         files = [s["file"] for s in m["shards"]]
         if not files:
             raise ValueError("the store is empty")
-        return self.spark.read.schema(self._schema(m)).parquet(*files).withColumn("_shard", F.input_file_name())
+        rows = self.spark.read.schema(self._schema(m)).parquet(*files)
+        return rows.withColumn(fresh(rows, "_shard")[0], F.input_file_name())
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete the shards that none of the last ``keep`` versions names; returns how many."""
