@@ -46,16 +46,27 @@ class Caps:
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(self.blocks))
         x = rng.standard_normal((400, dim))
         x = x / np.linalg.norm(x, axis=1, keepdims=True) @ self.rotation
-        total = self._sums(x).ravel()
-        keep = min(len(total) - 1, int(400 * PASSED))
-        self.least = float(np.partition(total, len(total) - keep)[len(total) - keep])
+        self.least = self._bound(x, min(400 * PASSED, 400 * self.words**self.blocks - 1))
 
     def _parts(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, a:b] @ c.T for a, b, c in zip(self.cuts, self.cuts[1:], self.codes, strict=False)]
 
-    def _sums(self, x: np.ndarray) -> np.ndarray:
-        p = self._parts(x)
-        return p[0] if self.blocks == 1 else p[0][:, :, None] + p[1][:, None, :]
+    def _bound(self, x: np.ndarray, keep: int) -> float:
+        """The keep-th largest inner product of the vectors with all filters; holds as many numbers at once, however many filters there are."""
+        best = np.empty(0)
+        for lo in range(len(x)):
+            parts = [-np.sort(-p[0]) for p in self._parts(x[lo : lo + 1])]
+            least = best.min() if len(best) == keep else -np.inf
+            if self.blocks == 1:
+                sums = [parts[0][:keep]]
+            else:  # of sorted parts, the i-th and j-th (from 1 on) make one of the largest only if i * j <= keep
+                p, q = parts
+                rows = min(int(np.searchsorted(-p, -(least - q[0]), side="right")), keep)
+                sums = [p[i] + q[: keep // (i + 1)] for i in range(rows)]
+            best = np.concatenate([best, *sums])
+            if len(best) > keep:
+                best = np.partition(best, len(best) - keep)[len(best) - keep :]
+        return float(best.min())
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the sorted numbers of all filters it passes, and of the AT_LEAST nearest."""
