@@ -1,17 +1,15 @@
 """BPE encoding and decoding with a tokenization automaton (operator 3).
 
-The merges are compiled, in rank order, by merge gadgets. A state says which token may not come
-next. The gadget of merge ``u v -> w`` redirects every u-arc to a copy of its target that lacks
-the v-arc, and adds a w-arc, leading where the v-arc led, beside each u-arc. The copies differ
-from their originals by one missing arc, so a state is a chain of missing arcs, and the chain
-of token t is: the merges that have t on the left, then those of t's right part that are older than
-t, and so on down t's right edge. Likewise the w-arc exists where the arc of w's left part existed when
-w was made. ``MergeAutomaton.arc`` decides an arc by these two walks over the merge table and
-keeps the answer in the transition table, which so holds the rows that texts really use.
-
-The automaton accepts exactly one token path for each byte string, and every prefix of a path is
-the path of a prefix. So encoding moves through a pre-split word along the arcs whose labels spell it;
-decoding emits the arcs' labels.
+The merges are compiled, in rank order, by merge gadgets. The automaton's arcs are tokens, and the state after a token
+says which may not come next. It starts with the single bytes, all arcs in place. The gadget of merge ``u v -> w`` redirects every u-arc to a
+copy of its target that lacks the v-arc, and adds a w-arc beside each u-arc that leads where the v-arc led. So the state of w is a copy of v's as it was then, and
+a w-arc stands where u's stood. The compiled tables hold just that: ``copied`` and ``until``, the state that each state is a copy of
+and when it was taken; ``beside`` and ``made``, the arc that each arc was put beside and when; ``removed``, the arcs that gadgets took from states, and
+when; ``dead``, tokens whose arcs stand nowhere. A transition is looked up in them, and kept in a table of its own.
+
+The automaton accepts exactly one token path for each byte string, and every prefix of a path is the path of a prefix. So each
+prefix of a pre-split word has one state, its last token: that of which the arc leaves the state of the prefix before it. Encoding
+fills in the states from the word's end, each once, and reads the path off; decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -35,8 +33,8 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎]")
 PIECE = re.compile(r"\s*\S+|\s+$")
 #: Entries that a worker keeps; the table starts anew beyond it, so memory stays bounded.
 CACHE = 400_000
-#: Bytes of a token's start that tell how long a token can be.
-TOP = 5
+#: Bytes of a token's end that tell how long a token can be.
+TAIL = 5
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,96 +48,88 @@ def byte_alphabet() -> dict[str, int]:
 class MergeAutomaton:
     """The automaton of a merge list; tokens are given as bytes."""
 
-    START = -1
-
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.vocab = vocab
         self.labels = {i: b for b, i in vocab.items()}
-        self.gadget: dict[tuple[int, int], int] = {}  # (u, v) -> rank: the arc missing after u
-        self.parts: dict[int, tuple[int, int, int]] = {}  # w -> (u, v, rank)
+        self.size = max(vocab.values(), default=-1) + 2
+        self.start = self.size - 1  # the state before any token; it lacks no arc
+        never = len(merges)
+        self.copied, self.until = [-1] * self.size, [never] * self.size
+        self.beside, self.made = [-1] * self.size, [never] * self.size
+        self.removed: dict[int, int] = {}
+        self.dead = bytearray(self.size)
         for rank, (u, v) in enumerate(merges):
-            a, b = vocab[u], vocab[v]
-            self.gadget.setdefault((a, b), rank)
-            self.parts.setdefault(vocab[u + v], (a, b, rank))
-        self.table: dict[tuple[int, int], bool] = {}
-        self.inner: dict[int, bool] = {}
-        self.tops: dict[bytes, int] = {}  # first TOP bytes -> length of the longest token that begins so
+            self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
+        self.table: dict[int, bool] = {}  # state * size + token -> whether the arc stands
+        self.tails: dict[bytes, int] = {}  # last TAIL bytes -> length of the longest token that ends so
         for t in vocab:
-            if len(t) >= TOP:
-                self.tops[t[:TOP]] = max(len(t), self.tops.get(t[:TOP], 0))
-
-    def _missing(self, t: int, w: int, left_limit: int, right_limit: int) -> bool:
-        """Is the arc from t's state to w gone by gadgets older than left_limit, or up to right_limit?"""
-        gadget, parts = self.gadget, self.parts
-        at, rl = w, right_limit
-        while True:
-            y, ll = t, left_limit
-            while True:
-                r = gadget.get((y, at))
-                if r is not None and r < ll and r <= rl:
+            if len(t) >= TAIL:
+                self.tails[t[-TAIL:]] = max(len(t), self.tails.get(t[-TAIL:], 0))
+
+    def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
+        """Apply the gadget of the merge u v -> w."""
+        if self.beside[w] < 0:  # a token that two merges make has the arcs of the first
+            self.dead[w] = self.dead[u] or self.dead[v] or self._lacks(u, v, rank)
+            self.beside[w], self.made[w], self.copied[w], self.until[w] = u, rank, v, rank
+        self.removed.setdefault(u * self.size + v, rank)
+
+    def _lacks(self, state: int, token: int, now: int) -> bool:
+        """Whether a state lacks a token's arc after the gadgets before ``now``."""
+        removed, copied, until, size = self.removed, self.copied, self.until, self.size
+        arc, stood = token, now - 1
+        while arc >= 0:  # the arc stands where the one beside it stood when it was made
+            of, taken = state, now
+            while of >= 0:  # the state lacks what the state it copies lacked when the copy was taken
+                r = removed.get(of * size + arc)
+                if r is not None and r < taken and r <= stood:
                     return True
-                p = parts.get(y)
-                if p is None:
-                    break
-                y, ll = p[1], min(ll, p[2])
-            p = parts.get(at)
-            if p is None:
-                return False
-            at, rl = p[0], min(rl, p[2])
-
-    def reachable(self, w: int) -> bool:
-        """Whether w has arcs at all: its parts could follow each other when it was made."""
-        got = self.inner.get(w)
-        if got is None:
-            p = self.parts.get(w)
-            got = p is None or (self.reachable(p[0]) and self.reachable(p[1]) and not self._missing(p[0], p[1], p[2], p[2] - 1))
-            self.inner[w] = got
-        return got
-
-    def arc(self, t: int, w: int) -> bool:
-        key = (t, w)
+                taken = min(taken, until[of])
+                of = copied[of]
+            stood = min(stood, self.made[arc])
+            arc = self.beside[arc]
+        return False
+
+    def arc(self, state: int, token: int) -> bool:
+        """Whether a token's arc leaves a state."""
+        key = state * self.size + token
         got = self.table.get(key)
         if got is None:
             if len(self.table) > 4 * CACHE:
                 self.table.clear()
-            none = 1 << 60
-            got = self.reachable(w) and (t == self.START or not self._missing(t, w, none, none))
-            self.table[key] = got
+            got = self.table[key] = not self.dead[token] and (state == self.start or not self._lacks(state, token, 1 << 60))
         return got
 
     def encode(self, word: bytes) -> list[int]:
-        """The token path of a pre-split word: the longest arc first, back from positions where none leads on.
-
-        The path to a position is unique, so a position that failed once is dead for good.
-        """
-        get, table, tops, n = self.vocab.get, self.table, self.tops, len(word)
-        pos, last, path = 0, self.START, []
-        starts: list[tuple[int, int, int]] = []
-        dead: set[int] = set()
-        length = min(tops.get(word[:TOP], TOP - 1), n)
-        while pos < n:
+        """The token path of a pre-split word."""
+        vocab, table, tails, size, n = self.vocab, self.table, self.tails, self.size, len(word)
+        state: list[int] = [-1] * n + [-1]
+        state[0] = self.start
+        todo = [(n, min(tails.get(word[-TAIL:], TAIL - 1), n))] if n else []
+        while todo:
+            end, length = todo.pop()
             while length:
-                end = pos + length
-                w = get(word[pos:end])
-                if w is not None and end not in dead:
-                    ok = table.get((last, w))
+                w = vocab.get(word[end - length : end])
+                if w is not None:
+                    before = state[end - length]
+                    if before < 0:  # that prefix comes first
+                        at = end - length
+                        todo.append((end, length))
+                        todo.append((at, min(tails.get(word[max(at - TAIL, 0) : at], TAIL - 1), at)))
+                        break
+                    ok = table.get(before * size + w)
                     if ok is None:
-                        ok = self.arc(last, w)
+                        ok = self.arc(before, w)
                     if ok:
-                        starts.append((pos, last, length))
-                        path.append(w)
-                        pos, last = end, w
-                        length = min(tops.get(word[pos : pos + TOP], TOP - 1), n - pos)
+                        state[end] = w
                         break
                 length -= 1
             else:
-                if not path:
-                    raise ValueError("no token path: the vocabulary lacks a byte")
-                dead.add(pos)
-                path.pop()
-                pos, last, length = starts.pop()
-                length -= 1
-        return path
+                raise ValueError("no token path: the vocabulary lacks a byte")
+        path, end = [], n
+        while end:
+            path.append(state[end])
+            end -= len(self.labels[state[end]])
+        return path[::-1]
 
 
 class Codec:
