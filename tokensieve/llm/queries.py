@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokensieve.llm import bpe_automaton, chaining, dac, jaccard_join, mixing, near_vectors, sharding, simhash, toxicity, warc
-from tokensieve.llm.common import materialize, words_of
+from tokensieve.llm.common import join_hot, materialize, rows_in, words_of
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and how near they are to each other and to the next document's."""
+    """Fingerprints of every document and of its edited text, how near they are to each other and to the next document's, and how many others are within the radius."""
     docs = simhash.with_neighbour(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
@@ -54,10 +54,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("_range").orderBy("_row")
     prints = prints.withColumn("nhi", F.lag("hi").over(w)).withColumn("nlo", F.lag("lo").over(w)).where("_ghost = 0")
     like = lambda p: simhash.likeness(*[F.col(c) for c in ("hi", "lo", f"{p}hi", f"{p}lo")])
-    return prints.select(
+    prints = prints.select(
         "doc_id", "n_chars", "edited_sha256", simhash.shown("hi", "lo").alias("fingerprint"), simhash.shown("ehi", "elo").alias("edited_fingerprint"),
-        like("e").alias("near_edited"), like("n").alias("near_next"),
+        like("e").alias("near_edited"), like("n").alias("near_next"), "hi", "lo",
     )
+    prints = materialize(prints, "fingerprints")
+    near = materialize(simhash.near_counts(prints), "fingerprints-near")
+    return join_hot(prints, near, ["hi", "lo"], "copies", rows_in(prints), ["doc_id"]).drop("hi", "lo", "copies")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokensieve.llm.common import materialize
+from tokensieve.llm.common import join_hot, materialize, rows_in
 
 BITS = 128
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bits in which fingerprints of near documents may differ, and members of one part of a crowded block key.
+RADIUS, PART = 3, 128
 #: Rows that a neighbour window holds on average, and the most windows that are told apart.
 ROWS_A_RANGE, MAX_RANGES = 64, 8192
 
@@ -101,32 +103,114 @@ def with_neighbour(docs: DataFrame) -> DataFrame:
     return rows.withColumn("_row", F.row_number().over(w)).withColumn("next_text", F.lag("text").over(w))
 
 
-def near_pairs(prints: DataFrame, radius: int, blocks: int | None = None, agree: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): all pairs of different fingerprints within the Hamming radius, and the documents of each fingerprint.
+def agreeing(radius: int, blocks: int | None, agree: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """(cuts, tables): where the bits are cut into blocks, and the choices of ``agree`` blocks, in order.
 
-    prints has doc_id, hi, lo. pairs has hi, lo, hi2, lo2, distance; members is prints without nulls. The bits are cut into
-    radius + agree blocks; fingerprints within the radius agree in ``agree`` of them at least, so a table for each choice of
-    ``agree`` blocks, keyed by their bits, finds every pair. Equal fingerprints are one row before anything is joined.
+    Of radius + agree blocks or more, ``agree`` are equal at least in fingerprints within the radius.
     """
     blocks = blocks or radius + agree
     if blocks < radius + agree:
         raise ValueError("too few blocks for this radius")
-    members = prints.where("hi IS NOT NULL AND lo IS NOT NULL")
-    classes = members.select("hi", "lo").distinct()
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    return [BITS * i // blocks for i in range(blocks + 1)], list(combinations(range(blocks), agree))
 
-    def block(i: int) -> Column:
-        out = F.lit(0).cast("long")
-        for name, base in (("lo", 0), ("hi", 64)):
-            a, b = max(cuts[i], base), min(cuts[i + 1], base + 64)
-            if a < b:
-                part = F.shiftrightunsigned(name, a - base).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
-                out = F.hash(out, part).cast("long")
-        return out
 
-    tables = [F.struct(F.lit(t).alias("t"), F.xxhash64(*[block(i) for i in chosen]).alias("k")) for t, chosen in enumerate(combinations(range(blocks), agree))]
-    keyed = materialize(classes.select("hi", "lo", F.explode(F.array(*tables)).alias("x")).select("x.t", "x.k", "hi", "lo"), "simhash-tables")
-    other = keyed.select("t", "k", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"))
-    less = (F.col("hi") < F.col("hi2")) | ((F.col("hi") == F.col("hi2")) & (F.col("lo") < F.col("lo2")))
+def block_bits(hi: Column, lo: Column, a: int, b: int) -> Column:
+    """The bits from a up to b of a fingerprint, hashed together where they lie in both halves."""
+    parts = []
+    for half, base in ((lo, 0), (hi, 64)):
+        x, y = max(a, base), min(b, base + 64)
+        if x < y:
+            parts.append(F.shiftrightunsigned(half, x - base).bitwiseAND(F.lit((1 << (y - x)) - 1 if y - x < 64 else -1)))
+    return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
+
+
+def differs(hi: Column, lo: Column, a: int, b: int) -> Column:
+    """Whether two fingerprints, of which the halves' differences are given, differ between bits a and b."""
+    out = F.lit(False)
+    for half, base in ((lo, 0), (hi, 64)):
+        x, y = max(a, base), min(b, base + 64)
+        if x < y:
+            mask = (((1 << (y - x)) - 1) << (x - base)) & ((1 << 64) - 1)
+            out = out | (half.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)) != 0)
+    return out
+
+
+def tables(prints: DataFrame, radius: int, blocks: int | None, agree: int) -> tuple[DataFrame, DataFrame, list[int], list[tuple[int, ...]]]:
+    """(classes, cells, cuts, choices): fingerprints with their copies, and the block tables' crowded keys cut into parts.
+
+    cells has t, k, part, parts and members (hi, lo, copies), PART of them or so; keys that one fingerprint has alone are left out.
+    """
+    cuts, choices = agreeing(radius, blocks, agree)
+    classes = materialize(prints.where("hi IS NOT NULL AND lo IS NOT NULL").groupBy("hi", "lo").agg(F.count("*").alias("copies")), "simhash-classes")
+    key = lambda chosen: F.xxhash64(*[block_bits(F.col("hi"), F.col("lo"), cuts[i], cuts[i + 1]) for i in chosen])
+    every = F.array(*[F.struct(F.lit(t).alias("t"), key(chosen).alias("k")) for t, chosen in enumerate(choices)])
+    keyed = classes.select("hi", "lo", "copies", F.explode(every).alias("x")).select("x.t", "x.k", "hi", "lo", "copies")
+    keyed = materialize(keyed, "simhash-tables")
+    crowd = materialize(keyed.groupBy("t", "k").agg(F.count("*").alias("m")).where("m > 1"), "simhash-crowds")
+    met = join_hot(keyed, crowd, ["t", "k"], "m", rows_in(keyed), ["hi", "lo"]).where("m IS NOT NULL").withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int"))
+    cells = met.groupBy("t", "k", "part", "parts").agg(F.collect_list(F.struct("hi", "lo", "copies")).alias("members"))
+    return classes, materialize(cells, "simhash-cells"), cuts, choices
+
+
+def beside(cells: DataFrame) -> DataFrame:
+    """Each part of a block key beside each part of it: t, members, others."""
+    left = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("t", "k", "members", "other")
+    return left.join(cells.select("t", "k", F.col("part").alias("other"), F.col("members").alias("others")), ["t", "k", "other"]).select("t", "members", "others")
+
+
+def meets_here(t: Column, hi: Column, lo: Column, cuts: list[int], choices: list[tuple[int, ...]]) -> Column:
+    """Whether table t is the first in which a pair meets, whose halves differ by hi and lo: its blocks are the pair's first equal ones."""
+    gone = {i: differs(hi, lo, cuts[i], cuts[i + 1]) for i in range(len(cuts) - 1)}
+    out = F.lit(False)
+    for n, chosen in enumerate(choices):
+        here = t == n
+        for i in range(max(chosen)):
+            if i not in chosen:
+                here = here & gone[i]
+        for i in chosen:
+            here = here & ~gone[i]
+        out = out | here
+    return out
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, agree: int = 2) -> DataFrame:
+    """hi, lo, copies, n_near: of each fingerprint of (hi, lo) how many rows have it and how many others lie within the Hamming radius.
+
+    Rows with null fingerprints take no part. Permuted block tables find all of them (see agreeing). Equal fingerprints are one class with its
+    copies. A crowded key is cut into parts, two of which are compared at a time, and only counts leave a
+    comparison; a pair is counted in the first table that holds it. Built-in expressions only.
+    """
+    classes, cells, cuts, choices = tables(prints, radius, blocks, agree)
+
+    def near(m: Column) -> Column:
+        def add(n: Column, x: Column) -> Column:
+            hi, lo = m["hi"].bitwiseXOR(x["hi"]), m["lo"].bitwiseXOR(x["lo"])
+            d = F.bit_count(hi) + F.bit_count(lo)
+            return n + F.when((d <= radius) & (d > 0) & meets_here(F.col("t"), hi, lo, cuts, choices), x["copies"]).otherwise(F.lit(0))
+
+        return F.aggregate("others", F.lit(0).cast("long"), add)
+
+    found = beside(cells).select(F.explode(F.transform("members", lambda m: F.struct(m["hi"].alias("hi"), m["lo"].alias("lo"), near(m).alias("n")))).alias("x")).select("x.*")
+    found = found.where("n > 0").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    return classes.join(found, ["hi", "lo"], "left").select("hi", "lo", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_near"))
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, agree: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): all pairs of different fingerprints within the Hamming radius, and the documents of each fingerprint.
+
+    prints has doc_id, hi, lo. pairs has hi, lo, hi2, lo2, distance, the smaller first; members is prints without nulls. Pairs are found as in near_counts.
+    """
+    _, cells, cuts, choices = tables(prints, radius, blocks, agree)
+
+    def partners(m: Column) -> Column:
+        def fits(x: Column) -> Column:
+            hi, lo = m["hi"].bitwiseXOR(x["hi"]), m["lo"].bitwiseXOR(x["lo"])
+            less = (m["hi"] < x["hi"]) | ((m["hi"] == x["hi"]) & (m["lo"] < x["lo"]))
+            return less & (F.bit_count(hi) + F.bit_count(lo) <= radius) & meets_here(F.col("t"), hi, lo, cuts, choices)
+
+        return F.transform(F.filter("others", fits), lambda x: F.struct(m["hi"].alias("hi"), m["lo"].alias("lo"), x["hi"].alias("hi2"), x["lo"].alias("lo2")))
+
+    pairs = beside(cells).select(F.explode(F.flatten(F.transform("members", partners))).alias("x")).select("x.*")
     d = distance(F.col("hi"), F.col("lo"), F.col("hi2"), F.col("lo2"))
-    return keyed.join(other, ["t", "k"]).where(less & (d <= radius)).select("hi", "lo", "hi2", "lo2", d.alias("distance")).distinct(), members
+    return pairs.withColumn("distance", d), prints.where("hi IS NOT NULL AND lo IS NOT NULL")
