@@ -5,7 +5,8 @@ and the bound of two copies; the solution is an exponential tilt of the odds by
 exp(-l x / m)) for a document of x words and the source's mean m. The dual is convex in l, and Newton
 steps, bracketed by bisection, solve all sources at once; each step is one aggregation over the
 distinct (source, size) pairs. The rates become whole copies by error feedback from large to small sizes, so a
-source misses its target by about half of a small document; within a size, hashes say who gets the odd copy.
+source misses its target by about half of a small document; within a size, those with the smallest hashes get the odd copy: the
+hash up to which they do is found among sizes and hashes alone, so that texts are not shuffled to rank them.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokensieve.llm.common import materialize, release, words_of
+from tokensieve.llm.common import fresh, join_hot, materialize, release, tidy, words_of
 
 #: Weights of the sources in code-point order, repeating; what all targets add up to; the most a source or document is repeated.
 WEIGHTS = [5, 2, 1]
 SHARE, CAP = 1.5, 2.0
-#: Parts into which the documents of a (source, size) pair are dealt for ranking.
-DEAL = 64
+#: Documents of a (source, size) pair that are ranked in one window, on average; larger groups are sliced by hash.
+SLICE = 1 << 15
+#: The columns that mix adds.
+ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
 
 
 def source_key(source: Column) -> Column:
@@ -97,27 +100,68 @@ def copies_of(groups: DataFrame, state: DataFrame, cap: float) -> DataFrame:
     return rated.groupBy("skey").applyInPandas(feed, "skey string, size long, n long, copies long")
 
 
-def mix(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, size: str | None = None) -> DataFrame:
-    """The rows of docs with mix_size, mix_source_size, mix_target and mix_copies.
+def odd_copies(sized: DataFrame, groups: DataFrame) -> DataFrame:
+    """skey, size, bits, s, t, tied, take: of a (source, size) pair the documents with the ``extra`` smallest hashes.
+
+    groups has skey, size, n, extra. Documents of slices below s, and those of slice s with a hash up to t, are the smallest; of the ``tied``
+    ones with the hash t itself ``take`` are among them. A pair of many documents is cut into slices by the first ``bits`` of the
+    hashes, and only the slice that the border falls into is ranked.
+    """
+    width = F.ceil(F.log2(F.greatest(F.col("n") / SLICE, F.lit(1.0)))).cast("int")
+    need = materialize(groups.where("extra > 0").select("skey", "size", "n", "extra", F.least(width, F.lit(30)).alias("bits")), "mix-need")
+    rows = materialize(join_hot(sized, need, ["skey", "size"], "n", sized.count(), ["h"]).where("extra IS NOT NULL").withColumn("s", sliced("h", "bits")), "mix-sliced")
+    per = rows.groupBy("skey", "size", "s").agg(F.count("*").alias("m"), F.max("extra").alias("extra"))
+    before = Window.partitionBy("skey", "size").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    border = materialize(per.where((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("m"))).select("skey", "size", "s", (F.col("extra") - F.col("before")).alias("want")), "mix-border")
+    whole = ["skey", "size", "s"]
+    counted = rows.join(border, whole).groupBy(*whole, "bits", "want", "h").agg(F.count("*").alias("tied"))
+    to = F.sum("tied").over(Window.partitionBy(*whole).orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    counted = counted.withColumn("to", to).where((F.col("to") >= F.col("want")) & (F.col("to") - F.col("tied") < F.col("want")))
+    out = materialize(counted.select("skey", "size", "bits", "s", F.col("h").alias("t"), "tied", (F.col("want") - F.col("to") + F.col("tied")).alias("take")), "mix-odd")
+    release(need, rows, border)
+    return out
+
+
+def sliced(h: str, bits: str) -> Column:
+    """The first ``bits`` bits of a hash as a number, 0 for no bits; hashes of a slice are ordered as signed numbers are."""
+    top = F.shiftrightunsigned(F.col(h), 34)  # the first 30 bits
+    return F.floor(top / F.pow(F.lit(2.0), F.lit(30) - F.col(bits))).cast("long")
+
+
+def mix(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, size: str | None = None, added: list[str] = ADDED) -> DataFrame:
+    """The rows of docs with mix_size, mix_source_size, mix_target and mix_copies, or what ``added`` calls them.
 
     Size is the number of words of ``text``, or the column that size names; it is 0 for null or empty texts, which keep one copy and take no words. A null source is a
-    source of its own, the last. Repeated rows are documents of their own. Columns of docs named like the new ones are replaced.
-    Equal inputs give equal results. The one window that sees a group's documents sees a DEAL-th of a (source, size) pair.
+    source of its own, the last. Repeated rows are documents of their own. Columns of docs named like the added ones are replaced; all others stay, whatever their names.
+    Equal inputs give equal results. Sizes are read first; texts are read again at the end and joined with a table of the (source, size) pairs.
     """
-    new = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
-    docs = docs.drop(*new, "_skey", "_h", "_part")
-    rows = docs.withColumn("mix_size", words_of(F.col("text")) if size is None else F.col(size)).withColumn("_skey", source_key(F.col("source"))).withColumn("_h", F.xxhash64("doc_id"))
-    rows = rows.withColumn("_part", F.pmod("_h", F.lit(DEAL)).cast("int"))
-    parts = materialize(rows.groupBy("_skey", "mix_size", "_part").agg(F.count("*").alias("m")), "mix-parts")
-    groups = materialize(parts.groupBy(F.col("_skey").alias("skey"), F.col("mix_size").alias("size")).agg(F.sum("m").alias("n")), "mix-sizes")
+    tidy(docs.sparkSession)
+    docs = docs.drop(*added)
+    skey, own, h = fresh(docs, "skey", "words", "h")
+    hashed = F.xxhash64("doc_id", *(["text"] if "text" in docs.columns else []))
+    rows = docs.withColumn(own, words_of(F.col("text")) if size is None else F.col(size).cast("long")).withColumn(skey, source_key(F.col("source"))).withColumn(h, hashed)
+    sized = materialize(rows.select(F.col(skey).alias("skey"), F.col(own).alias("size"), F.col(h).alias("h")), "mix-sizes")
+    groups = materialize(sized.groupBy("skey", "size").agg(F.count("*").alias("n")), "mix-groups")
     goals = targets(groups, weights, share, cap)
     state = solve(groups, goals, cap)
-    copies = materialize(copies_of(groups, state, cap), "mix-copies")
-    before = Window.partitionBy("_skey", "mix_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("_before", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
-    placed = placed.join(copies.select(F.col("skey").alias("_skey"), F.col("size").alias("mix_size"), F.col("n").alias("_n"), F.col("copies").alias("_k")), ["_skey", "mix_size"])
-    placed = placed.join(state.select(F.col("skey").alias("_skey"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), "_skey")
-    out = rows.join(placed, ["_skey", "mix_size", "_part"])
-    rank = F.row_number().over(Window.partitionBy("_skey", "mix_size", "_part").orderBy("_h", "doc_id")) + F.col("_before")
-    out = out.withColumn("mix_copies", F.floor(F.col("_k") / F.col("_n")) + (rank <= F.col("_k") % F.col("_n")).cast("long"))
-    return out.select(*docs.columns, *new)
+    copies = copies_of(groups, state, cap).withColumn("base", F.floor(F.col("copies") / F.col("n"))).withColumn("extra", F.col("copies") % F.col("n"))
+    copies = materialize(copies, "mix-copies")
+    odd = odd_copies(sized, copies)
+    plan = copies.join(odd, ["skey", "size"], "left").join(state.select("skey", "source_size", "target"), "skey")
+    names = ["n", "base", "bits", "s", "t", "tied", "take", "source_size", "target"]
+    total = sized.count()
+    out_names = fresh(rows, *names)
+    plan = materialize(plan.select(F.col("skey").alias(skey), F.col("size").alias(own), *[F.col(c).alias(o) for c, o in zip(names, out_names, strict=True)]), "mix-plan")
+    release(sized, groups)
+    n, base, bits, s, t, tied, take, source_size, target = out_names
+    out = join_hot(rows, plan, [skey, own], n, total, [h])
+    mine = sliced(h, bits)
+    out = out.withColumn(s, F.coalesce((mine < F.col(s)) | ((mine == F.col(s)) & (F.col(h) <= F.col(t))), F.lit(False)))
+    split = plan.where(F.col(take) < F.col(tied))
+    if split.limit(1).count():  # rows that nothing tells apart: some of them get the odd copy
+        same = F.coalesce((F.col(h) == F.col(t)) & (F.col(take) < F.col(tied)), F.lit(False))
+        rank = F.row_number().over(Window.partitionBy(skey, own, h).orderBy(h))
+        out = out.where(~same).unionByName(out.where(same).withColumn(s, rank <= F.col(take)))
+    values = [F.col(own), F.col(source_size), F.col(target), (F.col(base) + F.col(s).cast("long"))]
+    return out.select(*docs.columns, *[v.alias(a) for v, a in zip(values, added, strict=True)])

@@ -183,9 +183,9 @@ class Model:
 
 
 def fit(texts: list[list[str]], labels: list[int]) -> Model:
-    """Fit on the distinct words of each text; the list is emptied on the way. Without toxic or without clean texts every score is the share of toxic labels."""
+    """Fit on the distinct words of each text; the list is emptied on the way. Without toxic or without clean texts every score is the share of toxic labels, without labels 0."""
     y = np.array(labels, float)
-    none = Model(np.empty(0, np.int64), np.empty(0), {}, 0.0, 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0)
+    none = Model(np.empty(0, np.int64), np.empty(0), {}, 0.0, 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -30.0)
     if not len(y) or y.min() == y.max():
         return none
     number: dict[str, int] = {}
