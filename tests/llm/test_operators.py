@@ -84,6 +84,37 @@ def test_jaccard_borderline(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(docs.collect())
 
 
+def test_jaccard_divided(spark, monkeypatch):
+    """Regions are divided, blocks cut and sets sent in copies already at a few members."""
+    for name, value in (("BLOCK", 4), ("PIVOTS", 2), ("SPREAD", 3), ("ALIKE", 8), ("OFTEN", 2), ("TURNS", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rnd = random.Random(6)
+    base = [[f"w{g}-{i}" for i in range(50)] for g in range(3)]
+    rows = []
+    for i in range(90):
+        w = list(base[i % 3]) + base[0][:6]
+        for _ in range(rnd.randint(0, 6)):
+            w[rnd.randrange(50)] = f"e{rnd.randrange(40)}"
+        rows.append((i, " ".join(w), "s", 1, None))
+    docs = frame(spark, rows)
+    got = jaccard_join.jaccard_components(docs).collect()
+    want = brute_components(docs.collect())
+    assert 3 < len({c for _, _, c in want}) < 60
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_jaccard_null_ids(spark):
+    rows = [(None, "a b c d e f", "s", 1, None), (None, "a b c d e f", "s", 1, None), (7, "a b c d e f", "s", 1, None), (None, None, None, None, None)]
+    got = jaccard_join.jaccard_components(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == [(7, 2, 7), (None, 0, None), (None, 2, 7), (None, 2, 7)]
+
+
+def test_keep_one_clashing_names(spark):
+    docs = corpus(spark).select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(["row", "row_key", "_id", "_keep", "_n", "component", "kid", "h"])])
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple(range(8))}
+
+
 def test_keep_one(spark):
     docs = corpus(spark)
     kept = jaccard_join.keep_one(docs)
@@ -291,6 +322,57 @@ def test_sharding(spark, tmp_path):
     assert st.vacuum() > 0 and st.read().count() == docs.count() + 5
 
 
+def test_sharding_lost_writer(spark, tmp_path):
+    docs = corpus(spark).limit(20).withColumn("_shard", F.lit("mine"))
+    st = sharding.Store(spark, f"file://{tmp_path}/s", lease=1.0)
+    st.append(docs)
+    (tmp_path / "s" / "manifest" / "_claim-0000000002").touch()  # a writer lost between its claim and the manifest
+    assert st.append(docs) == 2
+    rows = st.read()
+    assert rows.count() == 40 and {r._shard for r in rows.collect()} == {"mine"} and "_shard_" in rows.columns
+    empty = sharding.shard_documents(docs.limit(0), f"file://{tmp_path}/e", arrivals=2)
+    assert empty.read().count() == 0
+
+
+def test_caps_memory_is_bounded():
+    import tracemalloc
+
+    tracemalloc.start()
+    caps = near_vectors.Caps(32, 10_000_000)
+    assert caps.words > 2000 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_mixing_clashes_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 4)
+    rows = [(i, "a b c d e", "s", 1, "x") for i in range(200)] + [(7, "a b c d e", "s", 1, "x")] * 61 + [(None, "one two", None, 1, None)] * 3 + [(i, "f " * (i % 7), "t", 1, "y") for i in range(90)]
+    docs = frame(spark, rows)
+    for i, c in enumerate(["_h", "_n", "_k", "_before", "_part", "_skey", "h", "skey", "words", "n", "size", "salt", "base"]):
+        docs = docs.drop(c).withColumn(c, F.lit(i))
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns + mixing.ADDED
+    got = got.collect()
+    assert len(got) == len(rows) and {tuple(r)[4:-4] for r in got} == {tuple(range(13))}
+    for s in ("s", None, "t"):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.mix_copies * r.mix_size for r in mine) - mine[0].mix_target) <= 5 and max(r.mix_copies for r in mine) <= 2
+
+
+def test_remove_passages_clashes_and_hashed_column(spark):
+    rnd = random.Random(31)
+    p = prose(rnd, 80)
+    rows = [(i, f"{prose(rnd, 30)} {p} {prose(rnd, 20 * i)}", "s", 1, None) for i in range(1, 4)] + [(None, p, "s", 1, None)]
+    docs = frame(spark, rows)
+    for c in ("_id", "_spans", "id", "spans"):
+        docs = docs.withColumn(c, F.xxhash64("text"))
+    for part in (docs.where("doc_id IS NOT NULL"), docs):
+        left = chaining.remove_passages(part)
+        assert left.columns == docs.columns
+        assert sorted(p in (r.text or "") for r in left.collect()) == [False] * (part.count() - 1) + [True]
+    long = frame(spark, [(1, prose(rnd, 3000), "s", 1, None), (2, " ".join([prose(rnd, 40_000), p, prose(rnd, 40_000)]), "s", 1, None), (3, p, "s", 1, None)])
+    assert [(r.doc_id, r.source_doc_id) for r in chaining.passages(long).collect()] == [(3, 2)]
+
+
 def test_pipeline_small(spark, tmp_path):
     import corpus_pipeline as cp
 
