@@ -389,3 +389,28 @@ def test_tuning_never_costs_more(spark):
     at, cost = P.tune(m, {"unknown_word_strength": 0.45}, 0.2, 2)
     first = E.total_cost(E.cross_validate(m), "flex", []).first()["cost"]
     assert at["unknown_word_strength"] > 0 and cost <= first
+
+
+def test_message_info_store(spark, tmp_path):
+    from tokensieve.operators import review as V
+
+    st = store.MessageInfoStore(spark, str(tmp_path / "info"))
+    assert st.load().count() == 0
+    rows = lambda *r: spark.createDataFrame(r, "msg_id string, c string, t boolean")
+    st.store(rows(("1", "h", None), ("2", "s", True)))
+    st.store(rows(("2", "u", None), ("3", "s", False)))
+    st.remove(rows(("1", "", None)))
+    assert {r.msg_id: (r.c, r.t) for r in st.load().collect()} == {"2": ("u", None), "3": ("s", False)}
+    both = V.message_state(rows(("3", "", None), ("9", "", None)).select("msg_id"), st.load())
+    assert {r.msg_id: r.c for r in both.collect()} == {"3": "s", "9": None}
+
+
+def test_labelled_messages(spark, tmp_path):
+    for folder, n in (("ham", 5), ("spam", 3)):
+        (tmp_path / folder).mkdir()
+        for i in range(n):
+            (tmp_path / folder / f"{i}.txt").write_bytes(b"A: b")
+    paths = [str(tmp_path / "ham")], [str(tmp_path / "spam")]
+    assert mail.labelled_messages(spark, *paths).count() == 8
+    got = mail.labelled_messages(spark, *paths, keep=2, seed=3).groupBy("is_spam").count().collect()
+    assert {r.is_spam: r["count"] for r in got} == {False: 2, True: 2}

@@ -63,6 +63,18 @@ def read_messages(spark: SparkSession, path: str, kind: str | None = None) -> Da
     return rows.where(~wrapped).unionByName(unwrap_emlx(rows.where(wrapped)))
 
 
+def labelled_messages(spark: SparkSession, ham: list[str], spam: list[str], keep: int | None = None, seed: int = 0) -> DataFrame:
+    """(msg_id, raw, directory, is_spam) of the mailboxes of both classes; of each directory all messages, or ``keep`` by seeded digest."""
+    from tokensieve.operators.corpus import sample_keep
+
+    out = None
+    for paths, label in ((ham, False), (spam, True)):
+        for p in paths:
+            rows = read_messages(spark, p).select("msg_id", "raw", F.lit(p).alias("directory"), F.lit(label).alias("is_spam"))
+            out = rows if out is None else out.unionByName(rows)
+    return out if keep is None else sample_keep(out, "directory", "msg_id", keep, seed)
+
+
 def unwrap_emlx(files: DataFrame) -> DataFrame:
     """Length-prefixed messages without their first line and trailer."""
     at = F.expr("position(x'0A' IN raw)")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tokensieve.operators.model import Model, combine
 
 
-class ModelStore:
-    """A folder of model versions. A version is whole before a pointer names it; pointers are numbered files that are never replaced, the newest counts."""
+class Versions:
+    """A folder of versions. A version is whole before a pointer names it; pointers are numbered files that are never replaced, the newest counts."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -24,16 +24,29 @@ class ModelStore:
         fs, p = self._fs(f"{self.path}/pointer")
         return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("v")) if fs.exists(p) else []
 
+    def _point(self, name: str, epoch: int = -1) -> None:
+        """Make a version the newest."""
+        last = self._pointers()
+        number = int(last[-1][1:13]) + 1 if last else 1
+        fs, pointer = self._fs(f"{self.path}/pointer/v{number:012d}_{epoch}_{name}")
+        fs.create(pointer, False).close()  # the name says it all, so the pointer is whole at once
+
+    def newest(self) -> str | None:
+        """The folder of the newest version."""
+        last = self._pointers()
+        return f"{self.path}/{last[-1].split('_')[2]}" if last else None
+
+
+class ModelStore(Versions):
+    """Versions of a model."""
+
     def save(self, model: Model, epoch: int | None = None) -> str:
         """Write a new version and point to it; epoch is the stream's batch that it holds, for which see epoch()."""
         name = uuid.uuid4().hex
         model.wordinfo.write.parquet(f"{self.path}/{name}/wordinfo")
         model.meta.write.parquet(f"{self.path}/{name}/meta")
-        last = self._pointers()
-        number = int(last[-1][1:13]) + 1 if last else 1
         held = self.epoch() if epoch is None else epoch
-        fs, pointer = self._fs(f"{self.path}/pointer/v{number:012d}_{-1 if held is None else held}_{name}")
-        fs.create(pointer, False).close()  # the name says it all, so the pointer is whole at once
+        self._point(name, -1 if held is None else held)
         return name
 
     def epoch(self) -> int | None:
@@ -43,12 +56,34 @@ class ModelStore:
         return None if held < 0 else held
 
     def load(self) -> Model:
-        last = self._pointers()
-        if not last:
+        folder = self.newest()
+        if folder is None:
             raise FileNotFoundError(f"no model in {self.path}")
-        name = last[-1].split("_")[2]
         read = self.spark.read.parquet
-        return Model(read(f"{self.path}/{name}/wordinfo"), read(f"{self.path}/{name}/meta"))
+        return Model(read(f"{folder}/wordinfo"), read(f"{folder}/meta"))
+
+
+class MessageInfoStore(Versions):
+    """Versions of the table of what is known of messages: msg_id, c (h, s, u), t (trained as spam; null if untrained), date_modified."""
+
+    SCHEMA = "msg_id string, c string, t boolean, date_modified timestamp"
+
+    def load(self) -> DataFrame:
+        folder = self.newest()
+        return self.spark.createDataFrame([], self.SCHEMA) if folder is None else self.spark.read.schema(self.SCHEMA).parquet(folder)
+
+    def _save(self, rows: DataFrame) -> None:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{name}")
+        self._point(name)
+
+    def store(self, rows: DataFrame) -> None:
+        """Put the rows in place of those with the same id; they are stamped with the time."""
+        self._save(upsert(self.load(), rows.select("msg_id", "c", "t", F.current_timestamp().alias("date_modified")), "msg_id"))
+
+    def remove(self, ids: DataFrame) -> None:
+        """Forget messages."""
+        self._save(self.load().join(ids.select("msg_id"), "msg_id", "left_anti"))
 
 
 class CsvStore:
