@@ -306,6 +306,35 @@ def test_toxicity(spark):
     assert toxicity.score(docs, none).where("toxicity BETWEEN 0 AND 1").count() == 400
 
 
+def test_toxicity_edges(spark):
+    """Empty tables, repeated rows, null ids, very long texts and clashing names."""
+    rnd = random.Random(15)
+    rows = [(i, prose(rnd, 30) + (" idiot" if i % 3 == 0 else ""), "s", 1, None) for i in range(120)]
+    docs = frame(spark, rows)
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.train(docs, lab)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    unknown = toxicity.train(docs.limit(0), lab.limit(0))
+    assert all(r.toxicity < 1e-9 for r in toxicity.score(docs, unknown).collect())
+    long = prose(rnd, 60_000)
+    odd = frame(spark, [(1, long, "s", 1, None), (2, long + " idiot", "s", 1, None), (2, long + " idiot", "s", 1, None), (None, "idiot", None, None, None)])
+    for c in ("words", "known", "out", "label"):
+        odd = odd.withColumn(c, F.lit(c))
+    out = toxicity.score(odd, model)
+    assert out.columns == [*odd.columns, "toxicity"]
+    got = sorted(((str(r.doc_id), r.toxicity >= toxicity.THRESHOLD, r.words) for r in out.collect()))
+    assert got == [("1", False, "words"), ("2", True, "words"), ("2", True, "words"), ("None", True, "words")]
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    v = [1.0, 2.0, 3.0, 4.0]
+    w = [4.0, -3.0, 2.0, -1.0]
+    rows = [(None, v), (None, v), (1, v), (2, v), (2, v), (3, w), (4, [2.0, 4.0, 6.0, 8.0]), (None, None)]
+    df = spark.createDataFrame([(i, e, "x") for i, e in rows], "vec_id long, embedding array<double>, n_links string")
+    got = sorted(((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in near_vectors.near_vectors(df).collect()))
+    assert got == [("1", 3, "1", True), ("2", 3, "1", False), ("2", 3, "1", False), ("3", 0, "3", True), ("4", 3, "1", False), *[("None", 0, "None", True)] * 3]
+
+
 def test_sharding(spark, tmp_path):
     docs = corpus(spark)
     st = sharding.shard_documents(docs, f"file://{tmp_path}/s", arrivals=3, target=1 << 20)
