@@ -170,6 +170,13 @@ def join_hot(left: DataFrame, right: DataFrame, key: list[str], n: str, total: i
     return out.drop(salt)
 
 
+def join_hot_inner(left: DataFrame, right: DataFrame, key: list[str], n: str, total: int) -> DataFrame:
+    """left JOIN right on key, as join_hot: rows of hot keys meet a broadcast, the others alone are shuffled. left is read twice, so it should be a written table."""
+    is_hot = F.col(n) * HOT_SHARES > F.lit(max(total, HOT_SHARES))
+    hot, cold = F.broadcast(right.where(is_hot)), right.where(~is_hot)
+    return left.join(hot, key).unionByName(left.join(F.broadcast(right.where(is_hot).select(*key)), key, "left_anti").join(cold, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b): component is the smallest node reachable.
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokensieve.llm.common import fresh, join_hot, materialize, release, tidy, words_of
+from tokensieve.llm.common import fresh, join_hot, join_hot_inner, materialize, release, rows_in, tidy, words_of
 
 #: Weights of the sources in code-point order, repeating; what all targets add up to; the most a source or document is repeated.
 WEIGHTS = [5, 2, 1]
@@ -109,7 +109,7 @@ def odd_copies(sized: DataFrame, groups: DataFrame) -> DataFrame:
     """
     width = F.ceil(F.log2(F.greatest(F.col("n") / SLICE, F.lit(1.0)))).cast("int")
     need = materialize(groups.where("extra > 0").select("skey", "size", "n", "extra", F.least(width, F.lit(30)).alias("bits")), "mix-need")
-    rows = materialize(join_hot(sized, need, ["skey", "size"], "n", sized.count(), ["h"]).where("extra IS NOT NULL").withColumn("s", sliced("h", "bits")), "mix-sliced")
+    rows = materialize(join_hot_inner(sized, need, ["skey", "size"], "n", rows_in(sized)).withColumn("s", sliced("h", "bits")), "mix-sliced")
     per = rows.groupBy("skey", "size", "s").agg(F.count("*").alias("m"), F.max("extra").alias("extra"))
     before = Window.partitionBy("skey", "size").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, c
     odd = odd_copies(sized, copies)
     plan = copies.join(odd, ["skey", "size"], "left").join(state.select("skey", "source_size", "target"), "skey")
     names = ["n", "base", "bits", "s", "t", "tied", "take", "source_size", "target"]
-    total = sized.count()
+    total = rows_in(sized)
     out_names = fresh(rows, *names)
     plan = materialize(plan.select(F.col("skey").alias(skey), F.col("size").alias(own), *[F.col(c).alias(o) for c, o in zip(names, out_names, strict=True)]), "mix-plan")
     release(sized, groups)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokensieve.llm import bpe_automaton, chaining, dac, jaccard_join, mixing, near_vectors, sharding, simhash, toxicity, warc
-from tokensieve.llm.common import join_hot, materialize, rows_in, words_of
+from tokensieve.llm.common import join_hot_inner, materialize, rows_in, words_of
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     prints = materialize(prints, "fingerprints")
     near = materialize(simhash.near_counts(prints), "fingerprints-near")
-    return join_hot(prints, near, ["hi", "lo"], "copies", rows_in(prints), ["doc_id"]).drop("hi", "lo", "copies")
+    return join_hot_inner(prints, near, ["hi", "lo"], "copies", rows_in(prints)).drop("hi", "lo", "copies")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

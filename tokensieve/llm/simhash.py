@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokensieve.llm.common import join_hot, materialize, rows_in
+from tokensieve.llm.common import join_hot_inner, materialize, rows_in
 
 BITS = 128
 SPACE = r"[\x20\x09-\x0D]+"
@@ -147,7 +147,7 @@ def tables(prints: DataFrame, radius: int, blocks: int | None, agree: int) -> tu
     keyed = classes.select("hi", "lo", "copies", F.explode(every).alias("x")).select("x.t", "x.k", "hi", "lo", "copies")
     keyed = materialize(keyed, "simhash-tables")
     crowd = materialize(keyed.groupBy("t", "k").agg(F.count("*").alias("m")).where("m > 1"), "simhash-crowds")
-    met = join_hot(keyed, crowd, ["t", "k"], "m", rows_in(keyed), ["hi", "lo"]).where("m IS NOT NULL").withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
+    met = join_hot_inner(keyed, crowd, ["t", "k"], "m", rows_in(keyed)).withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
     met = met.withColumn("part", F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int"))
     cells = met.groupBy("t", "k", "part", "parts").agg(F.collect_list(F.struct("hi", "lo", "copies")).alias("members"))
     return classes, materialize(cells, "simhash-cells"), cuts, choices
