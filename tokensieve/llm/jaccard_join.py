@@ -41,7 +41,7 @@ BLOCK, SLOTS, PROBE = 256, 1 << 26, 31
 #: How often a crowded region is divided, by how many pivots at a time, and how often its members are linked with their nearest before all are compared.
 LEVELS, PIVOTS, TURNS = 3, 4, 1
 #: Rows of regions alike that go to one task, and pairs for which one copy of a set is sent.
-ALIKE, SPREAD = 4096, 1024
+ALIKE, SPREAD = 512, 1024
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
@@ -261,6 +261,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
     joined = attach(attach(pairs, m, crowded, sets, "a", "b", {"s": "sa"}), m, crowded, sets, "b", "a", {"s": "sb"})
     out = materialize(joined.select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long, common long, na long, nb long"), "measured", m)
     release(need, found, sets, pairs)
+    tidy(docs.sparkSession)
     return out
 
 
@@ -281,6 +282,7 @@ def bound(pairs: DataFrame, sets: DataFrame, link: int, of: int) -> DataFrame:
     joined = attach(attach(pairs, m, crowded, own, "a", "b", {"n": "na", "sketch": "ka"}), m, crowded, own, "b", "a", {"n": "nb", "sketch": "kb"})
     out = materialize(joined.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long"), "possible", m)
     release(pairs, own, need)
+    tidy(sets.sparkSession)
     return out
 
 
@@ -459,6 +461,7 @@ def regions_left(met: DataFrame, label: DataFrame) -> DataFrame:
     split = materialize(split.where("lo <> hi").groupBy("m", "sig", "k0").agg(F.min("h").alias("h")).select("h", "k0", "m"), "regions-split", rows_in(named))
     out = materialize(join_hot_inner(named, split, ["h"], "m", rows_in(named)), "regions-open", rows_in(named))
     release(named, split)
+    tidy(met.sparkSession)
     return out
 
 
