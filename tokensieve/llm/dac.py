@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ ODD_SPACE = re.compile("[\x1c-\x1f᠎]")
 ODD = re.compile("[\x1c-\x1f᠎İΣ]|<\\||[^\x00-\u024f\u0370-\u04ff\u2010-\u2027]")
 #: Words that the pre-tokenizer keeps whole.
 PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
-STOPPED = re.compile(r"([a-zà-öø-ÿ]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+)").fullmatch
+#: What may follow them as a piece of its own.
+STOPS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+STOPPED = re.compile(f"([a-zà-öø-ÿ]+)([{re.escape(STOPS)}]+)").fullmatch
 #: Entries that a worker keeps of piece -> ids.
 CACHE = 1_200_000
 
@@ -167,8 +170,11 @@ class PieceEncoder:
         """
         known, tailed, plain, rest = self.known, [], set(), []
         for p in new:
-            if p.isascii() and p.isalpha() and p.islower():
-                plain.add(p)
+            w = p.rstrip(STOPS)
+            if w.isascii() and w.isalpha() and w.islower():
+                plain.add(w)
+                if w != p:
+                    tailed.append((p, w, p[len(w) :]))
             elif m := STOPPED(p):
                 tailed.append((p, *m.groups()))
                 plain.add(m[1])
@@ -195,7 +201,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE:
-            self.known = {}
+            self.known = dict(islice(self.known.items(), CACHE // 4))  # what is met first is what is met often
         if len(self.stops) > CACHE:
             self.stops = {}
         known, get = self.known, self.known.get
