@@ -24,6 +24,7 @@ remains is measured exactly. So every pair within r is either linked or connecte
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ BLOCK, SLOTS, PROBE = 256, 1 << 26, 31
 LEVELS, PIVOTS, TURNS = 3, 4, 1
 #: Rows of regions alike that go to one task, and pairs for which one copy of a set is sent.
 ALIKE, SPREAD = 512, 1024
+#: Parts of the single shingles, by their hash, whose regions are made one part after the other; their shuffle files take so much less disk.
+PASSES = 4
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
@@ -163,21 +166,25 @@ def describe(docs: DataFrame, reps: np.ndarray, hot: tuple[np.ndarray, np.ndarra
     return docs.mapInArrow(run, "kid long, n long, first array<long>, hot int, sketch binary")
 
 
-def first_regions(sets: DataFrame) -> DataFrame:
-    """h, kid, n, pivot, pivot_n: the regions around single shingles that hold several classes; pivot is the class with the smallest set.
+def first_regions(sets: DataFrame) -> list[DataFrame]:
+    """h, kid, n, pivot, pivot_n, in tables to be united: the regions around single shingles that hold several classes; pivot is the class with the smallest set.
 
-    Those of hot shingles, FREQUENT at most, are summed up within each task first; no task sees all of one.
+    Those of hot shingles, FREQUENT at most, are summed up within each task first; no task sees all of one. The others are taken in PASSES parts.
     """
     size = F.size("first")
-    cold = sets.select("kid", "n", F.explode(F.slice("first", F.lit(1), size - F.col("hot"))).alias("h"))
     region = Window.partitionBy("h")
-    cold = cold.withColumn("p", F.min(F.struct("n", "kid")).over(region)).withColumn("top", F.max("kid").over(region)).withColumn("low", F.min("kid").over(region)).where("top <> low")
     columns = ["h", "kid", "n", F.col("p.kid").alias("pivot"), F.col("p.n").alias("pivot_n")]
-    cold = cold.select(*columns).distinct()
+    out = []
+    for i in range(PASSES):
+        own = F.filter(F.slice("first", F.lit(1), size - F.col("hot")), lambda h: F.pmod(h, F.lit(PASSES)) == F.lit(i))  # noqa: B023
+        cold = sets.select("kid", "n", F.explode(own).alias("h"))
+        cold = cold.withColumn("p", F.min(F.struct("n", "kid")).over(region)).withColumn("top", F.max("kid").over(region)).withColumn("low", F.min("kid").over(region)).where("top <> low")
+        out.append(materialize(cold.select(*columns).distinct(), "regions"))
+        tidy(sets.sparkSession)
     crowds = sets.where("hot > 0").select("kid", "n", F.explode(F.slice("first", size - F.col("hot") + 1, F.col("hot"))).alias("h")).distinct()
     crowds = materialize(crowds, "regions-hot")
     tops = crowds.groupBy("h").agg(F.min(F.struct("n", "kid")).alias("p"), F.max("kid").alias("top"), F.min("kid").alias("low")).where("top <> low")
-    out = materialize(cold.unionByName(crowds.join(F.broadcast(tops), "h").select(*columns)), "regions")
+    out.append(materialize(crowds.join(F.broadcast(tops), "h").select(*columns), "regions"))
     release(crowds)
     return out
 
@@ -522,14 +529,15 @@ def named_rows(docs: DataFrame, words: int, link: int, of: int) -> DataFrame:
     total = rows_in(all_rows)
     sets = materialize(describe(docs, bit_table(classes, "at_row"), hot, max(total // HOT_SHARES, OFTEN), words, link, of), "class-sets")
     reach = 1 - link / of
-    met = first_regions(sets)
+    regions = first_regions(sets)
+    met = reduce(DataFrame.unionByName, regions)
     tidy(spark)
 
     star = met.where((F.col("kid") != F.col("pivot")) & (F.col("pivot_n") * of >= F.col("n") * link)).select(*pair_of("kid", "pivot")).distinct()
     measured = verify(docs, classes, bound(star, sets, link, of), words)
     label = components(linked(measured, link, of))
     left = regions_left(met.select("h", "kid", "n", "pivot"), label)
-    release(met)
+    release(*regions)
     tidy(spark)
     away = left.select("h", "k0", "m", "kid", "n", "component", "pivot", *pair_of("kid", "pivot")).join(distances(measured), ["a", "b"], "left")
     d = F.when(F.col("kid") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("away"))
