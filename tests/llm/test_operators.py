@@ -221,6 +221,21 @@ def test_passages_with_parts_seen_before(spark):
     assert [(r.doc_id, r.source_doc_id, r.start, r.end, r.equal) for r in got] == [(4, 3, 30, 90, 60)]
 
 
+@pytest.mark.parametrize("crowd", [1024, 4])
+def test_passages_whose_lines_were_met_elsewhere(spark, monkeypatch, crowd):
+    """Three lines, first met one by one in many texts, stand together with edits in and between them in two later texts."""
+    monkeypatch.setattr(chaining, "CROWD", crowd)
+    monkeypatch.setattr(chaining, "BLOCK", 8)
+    rnd = random.Random(24)
+    words = [f"w{i}" for i in range(5000)]
+    lines = [rnd.choices(words, k=19) for _ in range(3)]
+    rows = [(i, " ".join(rnd.choices(words, k=20) + lines[i % 3] + rnd.choices(words, k=20)), "s", 1, None) for i in range(30)]
+    rows += [(i, " ".join(rnd.choices(words, k=30) + sum(([f"e{rnd.random()}", *x[:k], f"e{rnd.random()}", *x[k + 1 :]] for x in lines), []) + rnd.choices(words, k=30)), "s", 1, None) for i, k in ((50, 3), (51, 15))]
+    got = chaining.passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} == {(51, 50)}
+    assert min(r.start for r in got) == 35 and max(r.end for r in got) == 86
+
+
 def test_chain_prefers_order():
     pos, other = np.array([0, 5, 10, 12, 20]), np.array([100, 105, 3, 112, 120])
     assert chaining.chain(pos, other)[0] == [0, 1, 3, 4]
